@@ -1,7 +1,7 @@
 """WARC archives: written with segmentation and chunked framing, read back and reassembled.
 
 Archives are text files whose records end in CRLF CRLF, gzipped; Spark's own writer and
-reader move the bytes. Reading splits at the record separator. Records of one origin are
+reader move the bytes. Reading splits at the version line that opens a record. Records of one origin are
 grouped by their origin identifier, ordered by segment number and checked against the
 total length; the HTTP body is then decoded from its chunks.
 """
@@ -20,7 +20,6 @@ from .shared import shared_dir
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-SPLIT = END + VERSION
 CHUNK, SEGMENT = 8192, 16384
 #: Payloads below this are always stored whole.
 REVISIT_BYTES = 100
@@ -28,8 +27,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer framing; a chunk ends inside any text that looks like a record separator."""
-    cuts = sorted({*range(0, len(body), size), *(m.start() + len(END) for m in re.finditer(re.escape(SPLIT), body)), len(body)})
+    """Chunked transfer framing; a chunk ends inside any text that looks like a record's version line."""
+    cuts = sorted({*range(0, len(body), size), *(m.start() + 4 for m in re.finditer(re.escape(VERSION), body)), len(body)})
     parts = [b"%x\r\n%b\r\n" % (b - a, body[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return b"".join(parts) + b"0\r\n\r\n"
 
@@ -52,15 +51,8 @@ def dechunked(data: bytes) -> bytes:
 
 
 def segments(block: bytes, size: int = SEGMENT) -> list[bytes]:
-    """Pieces of a block; none starts like a record, so the separator stays unambiguous."""
-    out, at = [], 0
-    while at < len(block) or not out:
-        end = min(at + size, len(block))
-        if block[end : end + len(VERSION)] == VERSION:
-            end += 1
-        out.append(block[at:end])
-        at = end
-    return out
+    """Pieces of a block, one at least."""
+    return [block[at : at + size] for at in range(0, max(len(block), 1), size)]
 
 
 def _record(kind: str, rid: str, fields: dict[str, str], block: bytes, date: str) -> bytes:
@@ -72,6 +64,7 @@ def records_of(page: str, url: str, payload: bytes, digest: str, first: str | No
     """The records of one page, without their closing CRLF CRLF."""
     rid = f"urn:page:{page}:{digest[:16]}"
     url = re.sub(r"[\r\n]+", " ", url)
+    url = re.sub(r"WARC/1\.1$", "WARC/1.%31", url)  # would end in a version line
     fields = {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{digest}"}
     if first is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -117,8 +110,10 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 
 def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of one record; ValueError if the block isn't as long as it says."""
-    head, _, block = raw.partition(END)
+    """Header fields and block of one record, read without its version line; ValueError if the block isn't as long as it says."""
+    if not raw.endswith(END):
+        raise ValueError(f"record without its closing CRLF CRLF: {raw[:200]!r}")
+    head, _, block = raw[: -len(END)].partition(END)
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
@@ -163,31 +158,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Logical records of the WARC files under `path`, segments put together.
 
+    The version line is the reader's separator, so files are split like any text; it has no
+    proper part that is also its beginning, which the reader's matching at buffer ends needs.
+
     Columns: ``record_id, record_type, uri, refers_to, payload_digest, payload_bytes,
     n_segments, payload``. Fails where a block isn't as long as declared, a segment is
     missing, the total length is wrong, chunked framing is broken or a payload doesn't have
     its digest. Revisits have no payload; their digest and length are the declared ones.
     Repeated segmented records come out as often as they went in.
     """
-    raw = spark.read.option("lineSep", SPLIT.decode()).text(path)
+    raw = spark.read.option("lineSep", VERSION.decode()).text(path)
     head = F.substring_index("value", END.decode(), 1)
     cut = head.contains("WARC-Segment-Number:")
     data = F.col("value").cast("binary").alias("raw")  # not through string functions: a cut may part a character
 
-    def cleaned(x: bytes) -> bytes:
-        return x.removesuffix(END) if x.endswith(END) else x
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                yield _batch([_finished(*_parse(x.as_py()), 1, with_payload) for x in batch.slice(lo, 256).column(0)])
+                yield _batch([_finished(*_parsed(x.as_py()), 1, with_payload) for x in batch.slice(lo, 256).column(0)])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 rows = []
                 for x in batch.slice(lo, 256).column(0):
-                    fields, block = _parse(x.as_py())
+                    fields, block = _parsed(x.as_py())
                     origin = fields.get("warc-segment-origin-id", fields["warc-record-id"])
                     rows.append((origin, int(fields["warc-segment-number"]), "\r\n".join(f"{k}: {v}" for k, v in fields.items()), block))
                 cols = zip(*rows, strict=True)
@@ -205,13 +200,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         if parts:
             yield _batch(_together(parts, with_payload))
 
-    def _parse(x: bytes) -> tuple[dict[str, str], bytes]:
-        x = x.removeprefix(VERSION)  # of a file's first record
-        try:
-            return _parsed(x)
-        except ValueError:
-            return _parsed(cleaned(x))  # a file's last record still has its closing bytes
-
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     single = raw.where(~cut & (F.length("value") > 0)).select(data).mapInArrow(whole, _SCHEMA)
     pieces = raw.where(cut).select(data).mapInArrow(parse, "origin string, number int, head string, block binary")
