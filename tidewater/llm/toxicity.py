@@ -2,7 +2,8 @@
 
 The kernel of two strings counts the letter triples that both contain as subsequences,
 each discounted by `DECAY` for every letter it skips, so gaps and inserted letters lower a
-match instead of losing it. A text is read as windows of 8 letters over its words: case,
+match instead of losing it; the normalised kernel is raised to a power, so that near
+matches stand out. A text is read as windows of 8 letters over its words: case,
 marks and spaces between single letters are folded away. Its similarity to a landmark is
 that of its best window (a text is as toxic as its worst place), the similarities are
 whitened by the landmarks' own kernel matrix, and a hinge-loss model is fitted on them.
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .linear import SAMPLE_PER_CLASS, dual_coordinate_descent, platt, sigmoid, training_rows
 from .quality import judged, kept
-from .textcore import U64, row_of, word_bounds
+from .textcore import U64, row_of, slices, word_bounds
 
-SPAN, DECAY, LANDMARKS = 8, 0.5, 96
+SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 96
+#: Bytes of training text that are cut into substrings at a time; at most 65,536 texts train a model.
+CHUNK = 256 << 10
 LENGTHS = (4, 5, 6, 7, 8)
 #: Symbols 1-26 are letters, 27 opens a unit, 28-31 stand for bytes from 128 on, 0 is skipped.
 OPEN = 27
@@ -101,7 +104,7 @@ class StringKernelSvm:
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         self._landmarks(self._choose(data, offsets, y, landmarks))
-        x = np.concatenate([self.similar(data[offsets[k] : offsets[min(k + 256, len(y))]], offsets[k : min(k + 256, len(y)) + 1] - offsets[k]) for k in range(0, len(y), 256)])
+        x = np.concatenate([self.similar(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, CHUNK)])
         value, vector = np.linalg.eigh(self.gram + 1e-3 * np.eye(len(self.gram)))
         white = vector @ np.diag(value**-0.5) @ vector.T if len(value) else np.zeros((0, 0))
         z, every = x @ white, np.arange(x.shape[1])
@@ -128,12 +131,12 @@ class StringKernelSvm:
         self.gram = np.stack([self._kernel(code[z : z + 1])[0] for z in range(len(code))]) if len(code) else np.zeros((0, 0))
 
     def _kernel(self, code: np.ndarray) -> np.ndarray:
-        """Normalised kernel of packed windows with each landmark."""
+        """Normalised kernel of packed windows with each landmark, raised to `POWER` (which leaves it a kernel)."""
         idx, w = triples(code)
         out = np.zeros((len(code), self.table.shape[1]), np.float32)
         for t in range(idx.shape[1]):
             out += self.table[idx[:, t]] * w[:, t : t + 1]
-        return out / np.maximum(norms(idx, w), 1e-9)[:, None].astype(np.float32)
+        return (out / np.maximum(norms(idx, w), 1e-9)[:, None].astype(np.float32)) ** POWER
 
     def _choose(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int, pool: int = 3000) -> np.ndarray:
         """Substrings that between them occur in most toxic texts and in hardly any other.
@@ -141,11 +144,14 @@ class StringKernelSvm:
         Greedy cover: the next landmark is the one that reaches most toxic texts which have
         fewer than two so far, each other text that it reaches counting against it fivefold.
         """
-        sym, lo, hi, row = units(data, offsets)
         toxic, found = y > 0, []
         for length in LENGTHS:
-            code, text = codes(sym, lo, hi, row, length, False)
-            key = np.unique(code << U64(16) | text.astype(U64)) if len(y) < 1 << 16 else np.zeros(0, U64)
+            keys = []
+            for lo, hi in slices(offsets, CHUNK):  # a few texts at a time bound the driver's memory
+                base = offsets[lo]
+                code, text = codes(*units(data[base : offsets[hi]], offsets[lo : hi + 1] - base), length, False)
+                keys.append(np.unique(code << U64(16) | (text + lo).astype(U64)))
+            key = np.sort(np.concatenate(keys))
             code, text = key >> U64(16), (key & U64(0xFFFF)).astype(np.int64)
             head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
             if not len(head):
@@ -157,12 +163,12 @@ class StringKernelSvm:
             stop = np.append(head[1:], len(code))
             found += [(worth[b], -length, int(code[head[b]]), text[head[b] : stop[b]]) for b in best if worth[b] > 0 and hits[b] > 1]
         found = sorted(found, key=lambda f: (-f[0], f[1], f[2]))[: 2 * pool]
-        inside = np.zeros((len(found), len(y)), np.float32)
+        inside = np.zeros((len(found), len(y)), bool)
         for k, f in enumerate(found):
-            inside[k, f[3]] = 1
-        cost, reached, chosen = 5 * inside[:, ~toxic].sum(axis=1), np.zeros(len(y)), []
+            inside[k, f[3]] = True
+        cost, reached, chosen = 5.0 * inside[:, ~toxic].sum(axis=1), np.zeros(len(y), np.int64), []
         while len(chosen) < most and found:
-            gain = inside @ (toxic & (reached < 2)).astype(np.float32) - cost
+            gain = inside[:, toxic & (reached < 2)].sum(axis=1) - cost
             k = int(gain.argmax())
             if gain[k] < 1:
                 break
