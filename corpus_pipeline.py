@@ -43,14 +43,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words aren't taken. A null source is a source of its own.
     """
-    mixed = Mix(docs).texts().drop("copy")
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    names = docs.columns
+    mixed = Mix(docs).texts().toDF(*[f"c{k}" for k in range(len(names))], "copy")  # by position: any names will do
+    n_chars = F.length(f"c{names.index('text')}").cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*[(n_chars if name == "n_chars" else F.col(f"c{k}")).alias(name) for k, name in enumerate(names)])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard of 40 and their slot in it. Copies of a document share its shard."""
-    out = assign_shards(docs, carry=True)
-    return out.select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot"), F.col("size").alias("size"))
+    """The documents with their shard of 40, their slot in it and their size. Copies of a document share its shard.
+
+    Columns of the input named like these three, in any case, give way to them.
+    """
+    made = ["shard", "slot", "size"]
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in made]
+    return assign_shards(docs, carry=True).select(*kept, *made)
 
 
 STAGES = [

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import whole_rows
 from .textcore import LOWER, U64, buffers, mix, slices, word_bounds, word_hashes
 
 #: Bytes of benchmark text that one pass over the documents looks for.
@@ -244,14 +245,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     Null and empty texts stay; repeated rows stay or go together.
     """
 
+    at = docs.columns.index(text_col)
+
     def search(looked: Items, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, found in _found(looked, batch.column(text_col)):
+        for lo, hi, found in _found(looked, batch.column(at)):
             ok = np.ones(hi - lo, bool)
             ok[[r for r, _ in found]] = False
             yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
-        docs = _passed(docs, ids, texts, edits, repeats, search, docs.schema)
+        docs = _passed(docs, ids, texts, edits, repeats, search)
     return docs
 
 
@@ -263,8 +266,8 @@ def _found(looked: Items, column: pa.Array) -> Iterator[tuple[int, int, dict]]:
         yield lo, hi, looked.matches(*folded(data[base : offsets[hi]], offsets[lo : hi + 1] - base))
 
 
-def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, repeats: int, search, schema) -> DataFrame:
-    """One pass over the documents with a block of items, whose size is bounded."""
+def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, repeats: int, search, schema: str | None = None) -> DataFrame:
+    """One pass over the documents with a block of items, whose size is bounded; without a schema whole rows come out."""
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +275,7 @@ def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, repeats:
         for batch in batches:
             yield from search(looked, batch)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema) if schema else whole_rows(docs, run)
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import saved
+from .shared import named, saved
 from .sharding import RUN_ROWS
 from .textcore import U64, buffers, mix, slices, word_bounds
 
@@ -208,7 +208,8 @@ class Mix:
     def texts(self) -> DataFrame:
         """The mixture as documents: each input row up to twice, with the words that were taken.
 
-        Returns the input's columns and ``copy``; the n-th copy of a document holds, in
+        Returns the input's columns and, last, ``copy`` (also where the input has a column of
+        that name); the n-th copy of a document holds, in
         order, the pieces taken at least n times. A row whose words were all taken keeps
         its text unchanged; rows of which nothing was taken are gone.
         """
@@ -219,7 +220,7 @@ class Mix:
         lists = lists.select(F.col("doc_id").alias("k0"), F.col("source").alias("k1"), F.col("tie").alias("k2"), F.col("size").alias("k3"), "parts")
         names = self.df.columns
         body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = self.df.select(F.struct(*[F.col(c) for c in names]).alias("row"), body.alias("text"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(body, F.col(id_col)).alias("t")).dropDuplicates(["i", "s", "t"])
+        rows = self.df.select(F.struct(*[named(c).alias(c) for c in names]).alias("row"), body.alias("text"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(body, F.col(id_col)).alias("t")).dropDuplicates(["i", "s", "t"])
         both = rows.join(lists, F.col("i").eqNullSafe(F.col("k0")) & F.col("s").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("k2")))
 
         @F.udf(T.ArrayType(T.StringType()))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import SAMPLE_PER_CLASS, dual_coordinate_descent, held_out, platt, sigmoid, training_rows
+from .shared import whole_rows
 from .textcore import buffers, slices
 
 BITS = 17
@@ -109,18 +110,18 @@ def scored(docs: DataFrame, model, make) -> DataFrame:
 
 def kept(docs: DataFrame, model, make, text_col: str = "text", below: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose score is less than `below`; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state = sent.value, make()
         for batch in batches:
-            data, offsets = buffers(batch.column(text_col))
+            data, offsets = buffers(batch.column(at))
             for lo, hi in slices(offsets):
                 base = offsets[lo]
                 ok = own.score(data[base : offsets[hi]], offsets[lo : hi + 1] - base, state) < below
                 yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_rows(docs, run)
 
 
 def judged(docs: DataFrame, model, make, folds: int, fold: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import named
 from .textcore import U64, mix
 
 #: Rows that one numbering task is meant to sort.
@@ -89,7 +90,7 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", text_col: str = "text"
         F.col(key_col).alias("key"),
         (F.octet_length(body).cast("long") + F.lit(overhead)).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        *([F.struct(*[F.col(c) for c in df.columns]).alias("row")] if carry else []),
+        *([F.struct(*[named(c).alias(c) for c in df.columns]).alias("row")] if carry else []),
     )
     rows = rows.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("key"), shards), "grown_shard": shard_of(F.col("key"), shards + 1)})
     return numbered(rows, ["shard"], ["key", "size", "text_crc32"], "slot", df.select(key_col).count()).select("key", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *(["row"] if carry else []))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Input text that one Python group or one reduce task is meant to hold.
 SLICE_BYTES = 24 << 20
@@ -32,6 +35,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The top-level column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """`run` over whole Arrow batches, whose rows it may only leave out. Columns stand by position, so any names will do."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    kinds = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema.fields)])
+    return plain.mapInArrow(run, kinds).toDF(*df.columns)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a text column; one column-pruned scan."""
     return df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

@@ -66,7 +66,7 @@ def _by_bucket(slice_id: int, keys: np.ndarray, buckets: int, *cols: np.ndarray)
     b = _spread(keys, buckets).astype(np.int64)
     order = np.argsort(b, kind="stable")
     which, start = np.unique(b[order], return_index=True)
-    stops = np.append(start[1:], len(order))
+    stops = np.append(start, len(order))[1:]  # no keys, no buckets
     packed = [[c[order[i:j]].tobytes() for i, j in zip(start, stops, strict=True)] for c in (keys, *cols)]
     return pa.RecordBatch.from_arrays(
         [pa.array(which.astype(np.int32)), pa.array([slice_id] * len(which), pa.int64()), *[pa.array(p, pa.binary()) for p in packed]],
