@@ -5,8 +5,10 @@ each discounted by `DECAY` for every letter it skips, so gaps and inserted lette
 match instead of losing it; the normalised kernel is raised to a power, so that near
 matches stand out. A text is read as windows of 8 letters over its words: case,
 marks and spaces between single letters are folded away. Its similarity to a landmark is
-that of its best window (a text is as toxic as its worst place), the similarities are
-whitened by the landmarks' own kernel matrix, and a hinge-loss model is fitted on them.
+read twice: that of its best window (a text is as toxic as its worst place), and how dense
+windows like the landmark are (a stem that clean texts show by chance is toxic where it
+recurs). Both are whitened by the landmarks' own kernel matrix, and a hinge-loss model is
+fitted on them.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 96
 #: Bytes of training text that are cut into substrings at a time; at most 65,536 texts train a model.
 CHUNK = 256 << 10
 LENGTHS = (4, 5, 6, 7, 8)
+#: Landmarks that a toxic text is to hold before more of its kind bring nothing: enough for each of many insults in one text.
+DEEP = 20
+#: A density of one full match in `PER` units counts 1; `PRIOR` units more keep short texts from extremes.
+PER, PRIOR = 50, 25
 #: Symbols 1-26 are letters, 27 opens a unit, 28-31 stand for bytes from 128 on, 0 is skipped.
 OPEN = 27
 SYMBOL = np.zeros(256, np.uint8)
@@ -107,6 +113,7 @@ class StringKernelSvm:
         x = np.concatenate([self.similar(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, CHUNK)])
         value, vector = np.linalg.eigh(self.gram + 1e-3 * np.eye(len(self.gram)))
         white = vector @ np.diag(value**-0.5) @ vector.T if len(value) else np.zeros((0, 0))
+        white = np.kron(np.eye(2), white)
         z, every = x @ white, np.arange(x.shape[1])
         fold, seen = np.arange(len(y)) % 2, np.zeros(len(y))
         for part in (0, 1):  # decision values for the calibration come from rows not fitted on
@@ -142,7 +149,10 @@ class StringKernelSvm:
         """Substrings that between them occur in most toxic texts and in hardly any other.
 
         Greedy cover: the next landmark is the one that reaches most toxic texts which have
-        fewer than two so far, each other text that it reaches counting against it fivefold.
+        fewer than `DEEP` so far, each other text that it reaches counting against it fivefold,
+        or twofold where the reach is that of repeats. One that gains less than a hundredth of
+        the toxic texts is left out, for chance brings as much; so is a part or an extension of
+        a landmark, if both open a unit or neither does, for the kernel sees it anyway.
         """
         toxic, found = y > 0, []
         for length in LENGTHS:
@@ -150,39 +160,48 @@ class StringKernelSvm:
             for lo, hi in slices(offsets, CHUNK):  # a few texts at a time bound the driver's memory
                 base = offsets[lo]
                 code, text = codes(*units(data[base : offsets[hi]], offsets[lo : hi + 1] - base), length, False)
-                keys.append(np.unique(code << U64(16) | (text + lo).astype(U64)))
-            key = np.sort(np.concatenate(keys))
+                once, times = np.unique(code << U64(16) | (text + lo).astype(U64), return_counts=True)
+                keys.append(np.stack([once, (times > 1).astype(U64)]))
+            key, again = np.concatenate(keys, axis=1)
+            order = np.argsort(key)
+            key, again = key[order], again[order].astype(bool)
             code, text = key >> U64(16), (key & U64(0xFFFF)).astype(np.int64)
-            head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-            if not len(head):
-                continue
-            hits = np.add.reduceat(toxic[text].astype(np.int64), head)
-            other = np.diff(np.append(head, len(code))) - hits
-            worth = hits / toxic.sum() - 4 * other / (~toxic).sum()
-            best = np.argsort(-worth, kind="stable")[:pool]
-            stop = np.append(head[1:], len(code))
-            found += [(worth[b], -length, int(code[head[b]]), text[head[b] : stop[b]]) for b in best if worth[b] > 0 and hits[b] > 1]
+            for code, text, weight in ((code, text, 5.0), (code[again], text[again], 2.0)):  # noqa: PLW2901 - texts that hold it, then those that repeat it
+                head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+                if not len(head):
+                    continue
+                hits = np.add.reduceat(toxic[text].astype(np.int64), head)
+                other = np.diff(np.append(head, len(code))) - hits
+                worth = hits / toxic.sum() - 4 * other / (~toxic).sum()
+                best = np.argsort(-worth, kind="stable")[:pool]
+                stop = np.append(head[1:], len(code))
+                found += [(worth[b], -length, int(code[head[b]]), text[head[b] : stop[b]], weight) for b in best if worth[b] > 0 and hits[b] > 1]
         found = sorted(found, key=lambda f: (-f[0], f[1], f[2]))[: 2 * pool]
         inside = np.zeros((len(found), len(y)), bool)
         for k, f in enumerate(found):
             inside[k, f[3]] = True
-        cost, reached, chosen = 5.0 * inside[:, ~toxic].sum(axis=1), np.zeros(len(y), np.int64), []
+        spelt = [bytes(x for x in row if x) for row in letters(np.array([f[2] for f in found], U64)).tolist()]
+        opens = [w[0] == OPEN for w in spelt]
+        cost, reached, chosen = np.array([f[4] for f in found]) * inside[:, ~toxic].sum(axis=1), np.zeros(len(y), np.int64), []
         while len(chosen) < most and found:
-            gain = inside[:, toxic & (reached < 2)].sum(axis=1) - cost
+            gain = inside[:, toxic & (reached < DEEP)].sum(axis=1) - cost
             k = int(gain.argmax())
-            if gain[k] < 1:
+            if gain[k] < max(1, toxic.sum() / 100):
                 break
             chosen.append(found[k][2])
             reached += inside[k]
-            cost[k] = np.inf
+            cost[[j for j, w in enumerate(spelt) if opens[j] == opens[k] and (w in spelt[k] or spelt[k] in w)]] = np.inf
         return np.array(chosen, U64)
 
     def similar(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Each text's best kernel value with each landmark."""
-        out = np.zeros((len(offsets) - 1, len(self.codes)), np.float32)
-        if not len(self.codes):
+        """Each text's best kernel value with each landmark, then the density of its kernel values of at least a half."""
+        m = len(self.codes)
+        out = np.zeros((len(offsets) - 1, 2 * m), np.float32)
+        if not m:
             return out
-        code, row = codes(*units(data, offsets), SPAN, True)
+        parts = units(data, offsets)
+        size = np.bincount(parts[3], minlength=len(out)) + PRIOR
+        code, row = codes(*parts, SPAN, True)
         distinct, back = np.unique(code, return_inverse=True)
         s = letters(distinct)
         hits = np.zeros(len(distinct), np.int8)
@@ -192,14 +211,18 @@ class StringKernelSvm:
         look = np.flatnonzero(hits >= 2)
         number = np.full(len(distinct), -1)
         number[look] = np.arange(len(look))
-        kernel = np.concatenate([self._kernel(distinct[look[k : k + 4096]]) for k in range(0, len(look), 4096)] or [out[:0]])
+        kernel = np.concatenate([self._kernel(distinct[look[k : k + 4096]]) for k in range(0, len(look), 4096)] or [out[:0, :m]])
         which = number[back]
         some = np.flatnonzero(which >= 0)
         if len(some):
             texts, head = np.unique(row[some], return_index=True)
             for k in range(0, len(texts), 256):
                 a, b = head[k], head[k + 256] if k + 256 < len(head) else len(some)
-                out[texts[k : k + 256]] = np.maximum.reduceat(kernel[which[some[a:b]]], head[k : k + 256] - a, axis=0)
+                near, at = kernel[which[some[a:b]]], head[k : k + 256] - a
+                out[texts[k : k + 256], :m] = np.maximum.reduceat(near, at, axis=0)
+                near[near < 0.5] = 0
+                out[texts[k : k + 256], m:] = np.add.reduceat(near, at, axis=0)
+        out[:, m:] = np.minimum(out[:, m:] * (PER / size)[:, None], 1)
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray, _state: object = None) -> np.ndarray:
