@@ -22,7 +22,9 @@ from .linear import SAMPLE_PER_CLASS, dual_coordinate_descent, platt, sigmoid, t
 from .quality import judged, kept
 from .textcore import U64, row_of, slices, word_bounds
 
-SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 96
+SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 48
+#: Kernel values (after the power) below this count as none, in training and in scoring.
+FLOOR = 0.05
 #: Bytes of training text that are cut into substrings at a time; at most 65,536 texts train a model.
 CHUNK = 256 << 10
 LENGTHS = (4, 5, 6, 7, 8)
@@ -132,6 +134,7 @@ class StringKernelSvm:
         for z in range(len(code)):
             np.add.at(table[:, z], idx[z], w[z])
         self.table = table / np.maximum(size, 1e-9).astype(np.float32)
+        self.most = self.table.max(axis=1) if len(code) else np.zeros(1 << 15, np.float32)
         self.near = (table >= DECAY).any(axis=1) if len(code) else np.zeros(1 << 15, bool)
         self.near[: 1 << 10] = False
         self.codes = code
@@ -145,6 +148,15 @@ class StringKernelSvm:
             out += self.table[idx[:, t]] * w[:, t : t + 1]
         return (out / np.maximum(norms(idx, w), 1e-9)[:, None].astype(np.float32)) ** POWER
 
+    def _bound(self, code: np.ndarray) -> np.ndarray:
+        """An upper bound of each window's kernel with any landmark, from each triple's greatest weight in one."""
+        out = np.zeros(len(code), np.float32)
+        for k in range(0, len(code), 8192):
+            idx, w = triples(code[k : k + 8192])
+            size = np.maximum(norms(idx, w), 1e-9).astype(np.float32)
+            out[k : k + 8192] = ((self.most[idx] * w).sum(axis=1) / size) ** POWER
+        return out
+
     def _choose(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int, pool: int = 3000) -> np.ndarray:
         """Substrings that between them occur in most toxic texts and in hardly any other.
 
@@ -209,6 +221,7 @@ class StringKernelSvm:
             third = s[:, c]
             hits += self.near[s[:, a] << 10 | s[:, b] << 5 | third] & (third > 0)
         look = np.flatnonzero(hits >= 2)
+        look = look[self._bound(distinct[look]) >= FLOOR]
         number = np.full(len(distinct), -1)
         number[look] = np.arange(len(look))
         kernel = np.concatenate([self._kernel(distinct[look[k : k + 4096]]) for k in range(0, len(look), 4096)] or [out[:0, :m]])
@@ -219,6 +232,7 @@ class StringKernelSvm:
             for k in range(0, len(texts), 256):
                 a, b = head[k], head[k + 256] if k + 256 < len(head) else len(some)
                 near, at = kernel[which[some[a:b]]], head[k : k + 256] - a
+                near[near < FLOOR] = 0
                 out[texts[k : k + 256], :m] = np.maximum.reduceat(near, at, axis=0)
                 near[near < 0.5] = 0
                 out[texts[k : k + 256], m:] = np.add.reduceat(near, at, axis=0)
