@@ -220,14 +220,14 @@ class Mix:
         lists = lists.select(F.col("doc_id").alias("k0"), F.col("source").alias("k1"), F.col("tie").alias("k2"), F.col("size").alias("k3"), "parts")
         names = self.df.columns
         body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = self.df.select(F.struct(*[named(c).alias(c) for c in names]).alias("row"), body.alias("text"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(body, F.col(id_col)).alias("t")).dropDuplicates(["i", "s", "t"])
+        rows = self.df.select(F.struct(*[named(c).alias(c) for c in names]).alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(body, F.col(id_col)).alias("t")).dropDuplicates(["i", "s", "t"])
         both = rows.join(lists, F.col("i").eqNullSafe(F.col("k0")) & F.col("s").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("k2")))
 
         @F.udf(T.ArrayType(T.StringType()))
         def build(text: str, size: int, parts: list) -> list[str]:
             return _copies(text, size, [(p["lo"], p["hi"], p["c"]) for p in parts])
 
-        built = both.select("row", F.posexplode(build("text", "k3", "parts")).alias("copy", "__text"))
+        built = both.select("row", F.posexplode(build(F.col("row")[text_col].cast("string"), "k3", "parts")).alias("copy", "__text"))
         return built.select(*[F.col("__text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], "copy")
 
 
@@ -239,15 +239,20 @@ def _copies(text: str, size: int, parts: list[tuple[int, int, int]]) -> list[str
             rep, end = lo // size, min(hi, (lo // size + 1) * size)
             counts.setdefault(rep, []).append((lo - rep * size, end - rep * size, c))
             lo = end
-    words, out = None, []
+    data, bounds, out = b"", None, []
     for rep in sorted(counts):
         for n in range(1, max(c for *_, c in counts[rep]) + 1):
             runs = sorted((lo, hi) for lo, hi, c in counts[rep] if c >= n)
             if sum(hi - lo for lo, hi in runs) == size:
                 out.append(text)
                 continue
-            words = words or re.findall(WORD, text)
-            out.append(" ".join(" ".join(words[lo:hi]) for lo, hi in runs))
+            if bounds is None:  # places of words, not words: a long text costs little more than itself
+                data = text.encode()
+                starts, ends, _ = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                bounds = starts, ends
+            starts, ends = bounds
+            # bytes.split() parts words at 0x20 and 0x09-0x0D alone
+            out.append(b" ".join(b" ".join(data[starts[lo] : ends[hi - 1]].split()) for lo, hi in runs).decode())
     return out
 
 
