@@ -18,6 +18,8 @@ from .shared import whole_rows
 from .textcore import buffers, slices
 
 BITS = 17
+#: Bytes of text that are scored at a time; arrays over them are many times as large.
+SLICE = 512 << 10
 ORDERS = (2, 3, 4)
 
 
@@ -100,7 +102,7 @@ def scored(docs: DataFrame, model, make) -> DataFrame:
         own, state = sent.value, make()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 base = offsets[lo]
                 got = own.score(data[base : offsets[hi]], offsets[lo : hi + 1] - base, state)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(got, pa.float64())], ["doc_id", "score"])
@@ -116,7 +118,7 @@ def kept(docs: DataFrame, model, make, text_col: str = "text", below: float = 0.
         own, state = sent.value, make()
         for batch in batches:
             data, offsets = buffers(batch.column(at))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 base = offsets[lo]
                 ok = own.score(data[base : offsets[hi]], offsets[lo : hi + 1] - base, state) < below
                 yield batch.slice(lo, hi - lo).filter(pa.array(ok))
