@@ -173,11 +173,13 @@ class StringKernelSvm:
                 base = offsets[lo]
                 code, text = codes(*units(data[base : offsets[hi]], offsets[lo : hi + 1] - base), length, False)
                 once, times = np.unique(code << U64(16) | (text + lo).astype(U64), return_counts=True)
-                keys.append(np.stack([once, (times > 1).astype(U64)]))
-            key, again = np.concatenate(keys, axis=1)
-            order = np.argsort(key)
-            key, again = key[order], again[order].astype(bool)
-            code, text = key >> U64(16), (key & U64(0xFFFF)).astype(np.int64)
+                keys.append(once << U64(1) | (times > 1).astype(U64))
+            key = np.concatenate(keys)
+            keys.clear()
+            key.sort()  # in place: one array of keys and its two parts are all that the driver holds
+            again, text = (key & U64(1)).astype(bool), (key >> U64(1)).astype(np.uint16)
+            key >>= U64(17)
+            code = key
             for code, text, weight in ((code, text, 5.0), (code[again], text[again], 2.0)):  # noqa: PLW2901 - texts that hold it, then those that repeat it
                 head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
                 if not len(head):
