@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .linear import SAMPLE_PER_CLASS, dual_coordinate_descent, platt, sigmoid, training_rows
 from .quality import judged, kept
+from .shared import release
 from .textcore import U64, row_of, slices, word_bounds
 
 SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 48
@@ -245,6 +246,15 @@ class StringKernelSvm:
         return sigmoid(self.slope * (self.similar(data, offsets) @ self.alpha + self.bias) + self.offset)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int) -> tuple[StringKernelSvm, bool]:
+    """The model, and whether both classes are known; the sample's memory is given back."""
+    texts, y, share = training_rows(docs, labels, label, folds, fold, per_class)
+    model, both = StringKernelSvm(texts, y, share), len(set(y.tolist())) == 2
+    del texts
+    release()
+    return model, both
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """Toxicity score of each document: ``doc_id, held_out, score, predicted``.
 
@@ -255,8 +265,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     labels of both classes all rows score the known share of label 1, 0.5 if none is
     known. Further columns are ignored.
     """
-    texts, y, share = training_rows(docs, labels, label, folds, fold, per_class)
-    return judged(docs, StringKernelSvm(texts, y, share), lambda: None, folds, fold)
+    model, _ = _fitted(docs, labels, label, folds, fold, per_class)
+    return judged(docs, model, lambda: None, folds, fold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -265,8 +275,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds:
     Fitted as there, on `docs` joined to `labels`; the same holds for nulls, empty texts and
     repeated rows. Where no label is known every row scores 0.5 and would go, so then all stay.
     """
-    texts, y, share = training_rows(docs, labels, label, folds, fold, per_class)
-    return kept(docs, StringKernelSvm(texts, y, share), lambda: None) if len(set(y.tolist())) == 2 else docs
+    model, both = _fitted(docs, labels, label, folds, fold, per_class)
+    return kept(docs, model, lambda: None) if both else docs
 
 
 def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
