@@ -3,16 +3,23 @@
 A window of words walks through the CGK random-walk embedding (Chakraborty, Goldenberg,
 Koucky): at step t the current word is output, and a random bit of (t, word) says whether
 to move on. Windows at a small edit distance come out at a small Hamming distance. Each
-repetition has a walk of its own and samples some output positions; an item and a window
-of its size that agree on all samples are a candidate, and every candidate is verified by
-its exact edit distance over words. The number of repetitions follows from a target
-recall. All windows of a document take a step together, and those that already disagree
-with every item at a sampled position drop out.
+repetition has a walk of its own and samples some output positions. An item is entered at
+each of its words, so walks cover all of it wherever its edits lie; an entry and a place of
+a document that agree on all samples make a candidate, and every candidate is verified by
+the exact edit distance over the item's words.
+
+k edits leave a run of at least (n - k) / (k + 1) of an item's n words unchanged. An entry
+at the head of that run agrees with the document whenever its walk has not left the run by
+the last sample. The chance of that follows from the sampled positions, and repetitions
+are added until at most 1 - `recall` of such items are missed, however the edits lie. All
+places of a document take a step together, and those that already disagree with every
+item drop out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +29,15 @@ from pyspark.sql import functions as F
 from .shared import whole_rows
 from .textcore import LOWER, U64, buffers, mix, slices, word_bounds, word_hashes
 
-#: Bytes of benchmark text that one pass over the documents looks for.
-BLOCK_BYTES = 16 << 20
-#: Least item length, steps of the walk, sampled steps.
-CLASSES = ((16, 16, 4), (8, 8, 4), (4, 4, 3), (1, 1, 1))
+#: Bytes of benchmark text that one pass over the documents looks for; each word takes some 100 bytes in tables.
+BLOCK_BYTES = 4 << 20
+#: Most steps of a walk and most sampled steps.
+STEPS, SAMPLES = 16, 4
 EDITS = 0.2
-#: Repetitions. Measured: of items with every tenth word edited 99 in 100 are found, at the limit of
-#: every fifth 19 in 20, unchanged ones always (see the tests); more repetitions raise it further.
-REPEATS = 12
+#: Least chance that an item at the edit limit is found, in each length class; unchanged items always are.
+RECALL = 0.999
+#: Pairs of a place and an entry that are joined at a time.
+PAIRS = 1 << 20
 _MARKS = np.zeros(256, bool)
 _MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -66,15 +74,41 @@ def best_window(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
+def intact_run(words: int, edits: int) -> int:
+    """Words of an item that lie unchanged in a row, wherever its edits are; at least so many."""
+    return max(1, -(-(words - edits) // (edits + 1)))
+
+
+def sampled_steps(run: int, exact: bool, recall: float, seed: int) -> list[tuple[np.ndarray, int, int]]:
+    """Sampled steps, walk salt and least moves of each repetition that an intact run of `run` words needs.
+
+    The walk's place at its last sample is binomial, so a repetition finds the run with the
+    chance of a place within it. Walks that have hardly moved by then agree with too much:
+    entries with fewer moves are left out, and not counted in that chance. A walk of no
+    more steps than an `exact` item has words can't leave it.
+    """
+    steps, least = (min(run, STEPS // 2), 0) if exact else (min(2 * run, STEPS), run // 2)
+    samples = min(SAMPLES, steps if exact else steps - 1)
+    rng, missed, out = np.random.default_rng([seed, steps, exact]), 1.0, []
+    while missed > 1 - recall or not out:
+        at = np.sort(rng.choice(steps, samples, replace=False))
+        at -= at[0]  # every word is entered, so a walk may begin at its first sample
+        last = int(at[-1])
+        if chance := sum(comb(last, k) for k in range(least, min(run - 1, last) + 1)) / 2**last:
+            missed *= 1 - chance
+            out.append((at, int(rng.integers(0, 1 << 63)), least))
+    return out
+
+
 class Items:
     """Sampled walks of a block of items, for all repetitions.
 
-    An item is entered at its start and, if long, once more at its middle, so edits that
-    crowd at one end leave the other. A window's words outside the items' vocabulary can't
-    match a sample; they only steer the walk.
+    An item is entered at each of its words, one in which no edit is allowed only at its
+    first. A window's words outside the items' vocabulary can't match a sample; they only
+    steer the walk.
     """
 
-    def __init__(self, ids: list[int | None], texts: list[str], edits: float = EDITS, repeats: int = REPEATS, seed: int = 5):
+    def __init__(self, ids: list[int | None], texts: list[str], edits: float = EDITS, recall: float = RECALL, seed: int = 5):
         raw = [t.encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         words, first = folded(data, np.cumsum([0, *map(len, raw)]))
@@ -89,30 +123,30 @@ class Items:
         self.length, self.limit = np.array([len(w) for w in self.words], np.int64), np.array(self.most, np.int64)
         self.rest = len(np.unique(self.vocabulary >> U64(44))) < len(self.vocabulary)
         self.tables: list[tuple] = []
-        upper = 1 << 62
-        for least, steps, samples in CLASSES:
-            entry = [(k, o) for k, w in enumerate(self.words) if least <= len(w) < upper for o in ((0, len(w) // 2) if len(w) >= 2 * steps > 2 else (0,))]
-            upper = least
-            if not entry:
-                continue
-            flat = np.concatenate([np.append(self.words[k][o : o + steps], np.zeros(steps - len(self.words[k][o : o + steps]), U64)) for k, o in entry])
-            entry = np.array(entry, np.int64)
-            for r in range(repeats if steps > 1 else 1):
-                rng = np.random.default_rng([seed, r, steps])
-                salt = U64(rng.integers(0, 1 << 63))
-                # the first sample comes early, so that most windows drop out after few steps
-                early = rng.integers(0, max(1, steps // 4), 1)
-                later = early[0] + 1 + rng.choice(steps - early[0] - 1, samples - 1, replace=False) if steps > 1 else []
-                at = np.sort(np.concatenate([early, later]).astype(np.int64))
-                got = self._walk(self._ids(flat), _bits(flat, salt), np.arange(len(entry), dtype=np.int32) * steps, at, None)[1]
-                tables = []
-                for g in got:
-                    t = np.zeros(len(self.vocabulary) + 1, bool)
-                    t[g] = True
-                    tables.append(t)
+        classes: dict[tuple[int, bool], list[int]] = {}
+        for k, (w, most) in enumerate(zip(self.words, self.most, strict=True)):
+            if len(w):
+                exact = most == 0
+                classes.setdefault((min(intact_run(len(w), most), STEPS // 2), exact), []).append(k)
+        for (run, exact), members in sorted(classes.items()):
+            # items one behind the other, each followed by so many zeros that no walk gets into the next
+            flat = np.concatenate([np.append(self.words[k], np.zeros(STEPS, U64)) for k in members])
+            size = self.length[members] + STEPS
+            head = np.cumsum(size) - size
+            n = np.ones_like(size) if exact else self.length[members]
+            offset = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            entry = np.column_stack([np.repeat(np.array(members, np.int32), n), offset])
+            starts, flat_ids = (np.repeat(head, n) + offset).astype(np.int32), self._ids(flat)
+            for at, salt, least in sampled_steps(run, exact, recall, seed):
+                _, place, got = self._walk(flat_ids, _bits(flat, U64(salt)), starts, at, None)
+                some = np.flatnonzero(np.all([g > 0 for g in got], axis=0) & (place - starts >= least))  # others may walk past the item's end
+                got = [g[some] for g in got]
+                near = np.zeros(1 << 22, bool)
+                if len(at) > 1:
+                    near[_pair(got[0], got[1])] = True
                 key = _fold(got)
                 order = np.argsort(key)
-                self.tables.append((at, salt, tables, key[order], entry[order]))
+                self.tables.append((at, U64(salt), near, key[order], some[order].astype(np.int32), entry))
 
     def _ids_of(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.vocabulary, words) + 1
@@ -125,39 +159,53 @@ class Items:
         return np.where(self.vocabulary[at] == words, at + 1, 0).astype(np.int32)
 
     @staticmethod
-    def _walk(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, at: np.ndarray, allowed: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Windows that are left, and their words at the sampled steps.
+    def _walk(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, at: np.ndarray, near: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Windows that are left, their places at the last sample and their words at each.
 
-        With `allowed`, a window whose sampled word isn't among that position's words is gone.
+        With `near`, a window whose first two sampled words are no item's is gone.
         """
-        live, place, got, nth = starts, starts.copy(), [], 0
+        live, place, got = starts, starts.copy(), []
         for t in range(int(at[-1]) + 1):
-            if t == at[nth]:
+            if t == at[len(got)]:
                 now = ids[place]
-                if allowed is not None:
-                    ok = np.flatnonzero(allowed[nth][now] & (now > 0))
-                    live, place, now, got = live[ok], place[ok], now[ok], [g[ok] for g in got]
+                if near is not None:
+                    ok = now > 0
+                    if len(got) == 1:
+                        ok &= near[_pair(got[0], now)]
+                    if len(got) > 0:
+                        ok = np.flatnonzero(ok)
+                        live, place, now, got = live[ok], place[ok], now[ok], [g[ok] for g in got]
                 got.append(now)
-                nth += 1
+                if len(got) == len(at):
+                    break
             place += (bits[place] >> np.int32(t)) & np.int32(1)
-        return live, got
+        return live, place, got
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (window start, item, offset in the item) that agree in some repetition."""
+        """Distinct (first word, item, offset in the item of a word that agrees) of windows that agree in some repetition."""
         if not self.tables or not len(words):
             return (np.zeros(0, np.int64),) * 3
-        body = np.concatenate([words, np.zeros(CLASSES[0][1], U64)])
-        ids, starts, found = self._ids(body), np.arange(len(words), dtype=np.int32), []
-        for at, salt, allowed, key, entry in self.tables:
-            bits = _bits(body, salt)
-            live, got = self._walk(ids, bits, starts, at, allowed)
+        body = np.concatenate([words, np.zeros(STEPS, U64)])
+        ids, found = self._ids(body), []
+        starts = np.flatnonzero(ids[: len(words)] > 0).astype(np.int32)  # the first sample is the first word
+        for at, salt, near, key, order, entry in self.tables:
+            live, _, got = self._walk(ids, _bits(body, salt), starts, at, near)
             if not len(live):
                 continue
             mine = _fold(got)
             lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-            n = hi - lo
-            flat = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.column_stack([np.repeat(live, n), entry[flat]]))
+            ends = np.cumsum(hi - lo)
+            a = 0
+            while a < len(live):  # bounded memory where a phrase recurs in items and documents
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                n = hi[a:b] - lo[a:b]
+                flat = np.repeat(lo[a:b], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                if len(flat):
+                    start, pick = np.repeat(live[a:b], n).astype(np.int64), entry[order[flat]].astype(np.int64)
+                    _, one = np.unique((start - pick[:, 1] + (1 << 20)) * len(self.words) + pick[:, 0], return_index=True)
+                    found.append(np.column_stack([start, pick])[one])
+                a = b
         if not found:
             return (np.zeros(0, np.int64),) * 3
         every = np.concatenate(found).astype(np.int64)
@@ -209,13 +257,14 @@ def _fold(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, repeats: int = REPEATS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Benchmark items found in documents: ``id, item_id, edits, start_word, n_words``.
 
     One row per document row and item with a window whose word edit distance is at most
     `edits` times the item's words; of several windows that with fewest edits, then the
-    first. Words are compared without case and ASCII marks. `start_word` counts words that
-    hold more than marks.
+    first. An item at the limit is found with a chance of at least `recall`, whatever its
+    length and wherever its edits lie. Words are compared without case and ASCII marks.
+    `start_word` counts words that hold more than marks.
 
     Null and empty texts match nothing, items without words are never found, null item ids
     are kept as null, items with equal ids are looked for separately and each reported;
@@ -234,12 +283,12 @@ def find_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     out = None
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
-        part = _passed(source, ids, texts, edits, repeats, search, f"id {kind}, item_id long, edits int, start_word long, n_words int")
+        part = _passed(source, ids, texts, edits, recall, search, f"id {kind}, item_id long, edits int, start_word long, n_words int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, repeats: int = REPEATS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which `find_passages` finds no item, with all their columns; no shuffle.
 
     Null and empty texts stay; repeated rows stay or go together.
@@ -254,7 +303,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             yield batch.slice(lo, hi - lo).filter(pa.array(ok))
 
     for ids, texts in _blocks(items, item_col, item_text_col, block_bytes):
-        docs = _passed(docs, ids, texts, edits, repeats, search)
+        docs = _passed(docs, ids, texts, edits, recall, search)
     return docs
 
 
@@ -266,12 +315,12 @@ def _found(looked: Items, column: pa.Array) -> Iterator[tuple[int, int, dict]]:
         yield lo, hi, looked.matches(*folded(data[base : offsets[hi]], offsets[lo : hi + 1] - base))
 
 
-def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, repeats: int, search, schema: str | None = None) -> DataFrame:
+def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, recall: float, search, schema: str | None = None) -> DataFrame:
     """One pass over the documents with a block of items, whose size is bounded; without a schema whole rows come out."""
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        looked = Items(*sent.value, edits, repeats)
+        looked = Items(*sent.value, edits, recall)
         for batch in batches:
             yield from search(looked, batch)
 
