@@ -3,12 +3,12 @@
 The kernel of two strings counts the letter triples that both contain as subsequences,
 each discounted by `DECAY` for every letter it skips, so gaps and inserted letters lower a
 match instead of losing it; the normalised kernel is raised to a power, so that near
-matches stand out. A text is read as windows of 8 letters over its words: case,
+matches stand out. A text is read as windows of 10 letters over its words: case,
 marks and spaces between single letters are folded away. Its similarity to a landmark is
 read twice: that of its best window (a text is as toxic as its worst place), and how dense
 windows like the landmark are (a stem that clean texts show by chance is toxic where it
 recurs). Both are whitened by the landmarks' own kernel matrix, and a hinge-loss model is
-fitted on them.
+fitted on them, from the sample's texts and from copies with letters inserted into words.
 """
 
 from __future__ import annotations
@@ -23,9 +23,17 @@ from .quality import judged, kept
 from .shared import release
 from .textcore import U64, row_of, slices, word_bounds
 
-SPAN, DECAY, POWER, LANDMARKS = 8, 0.5, 4, 48
-#: Kernel values (after the power) below this count as none, in training and in scoring.
-FLOOR = 0.05
+SPAN, DECAY, POWER, LANDMARKS = 10, 0.9, 2, 48
+#: Kernel values (after the power) below this count as none, in training and in scoring; a word with two letters inserted has some 0.2 or more.
+FLOOR = 0.03
+#: Share of a landmark's own kernel that a window must have to count in the density.
+FULL = 0.8
+#: Letters inserted into each word of four bytes or more, for each gapped copy of a training text.
+GAPS = (1, 2)
+#: Share of the toxic texts that a landmark must occur in to be sure.
+SURE = 0.05
+#: Kernel rows that are looked up at a time.
+ROWS = 1 << 15
 #: Bytes of training text that are cut into substrings at a time; at most 65,536 texts train a model.
 CHUNK = 256 << 10
 LENGTHS = (4, 5, 6, 7, 8)
@@ -42,7 +50,8 @@ for _mark, _letter in zip(b"013457@", b"oieasta", strict=True):
     SYMBOL[_mark] = _letter - 96
 TRIPLES = np.array(list(combinations(range(SPAN), 3)))
 WEIGHT = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] - 2)).astype(np.float32)
-NEAR = TRIPLES[TRIPLES[:, 2] - TRIPLES[:, 0] <= 3]
+#: Places that three letters in a row of a landmark take with up to two letters inserted.
+NEAR = TRIPLES[TRIPLES[:, 2] - TRIPLES[:, 0] <= 4]
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,25 +87,36 @@ def letters(code: np.ndarray) -> np.ndarray:
     return ((code[:, None] >> (U64(5) * np.arange(SPAN, dtype=U64))) & U64(31)).astype(np.int32)
 
 
-def triples(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Triple index and weight at each of the 56 place triples; places past the end weigh 0."""
-    s = letters(code)
+def triples(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triple index and weight at each place triple; places past the end weigh 0."""
     a, b, c = (s[:, TRIPLES[:, k]] for k in range(3))
     return a << 10 | b << 5 | c, np.where(c > 0, WEIGHT, np.float32(0))
 
 
-def norms(idx: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _decayed(x: np.ndarray) -> np.ndarray:
+    """At each pair of places the sum over earlier pairs, times `DECAY` for each letter skipped."""
+    half, out = np.zeros_like(x), np.zeros_like(x)
+    for i in range(1, SPAN):
+        half[i] = half[i - 1] * np.float32(DECAY) + x[i - 1]
+    for j in range(1, SPAN):
+        out[:, j] = out[:, j - 1] * np.float32(DECAY) + half[:, j - 1]
+    return out
+
+
+def norms(s: np.ndarray) -> np.ndarray:
     """Square root of each string's kernel with itself."""
-    if not len(idx):
-        return np.zeros(0)
-    order = np.argsort(idx, axis=1, kind="stable")
-    i, v = np.take_along_axis(idx, order, 1).ravel(), np.take_along_axis(w, order, 1).ravel()
-    new = np.ones(len(i), bool)
-    new[1:] = i[1:] != i[:-1]
-    new[:: idx.shape[1]] = True
-    head = np.flatnonzero(new)
-    sums = np.add.reduceat(v.astype(np.float64), head) ** 2
-    return np.sqrt(np.bincount(head // idx.shape[1], weights=sums, minlength=len(idx)))
+    t = s.T
+    same = ((t[:, None] == t[None]) & (t[:, None] > 0)).astype(np.float32)
+    return np.sqrt((same * _decayed(same * _decayed(same))).sum(axis=(0, 1)))
+
+
+def gapped(data: np.ndarray, offsets: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with `n` random letters inserted at random places inside each word of four bytes or more."""
+    starts, ends, _ = word_bounds(data, offsets)
+    long = ends - starts >= 4
+    lo, size = starts[long] + 1, (ends - starts)[long] - 1
+    at = np.sort(np.concatenate([lo + (rng.random(len(lo)) * size).astype(np.int64) for _ in range(n)]))
+    return np.insert(data, at, rng.integers(97, 123, len(at)).astype(np.uint8)), offsets + np.searchsorted(at, offsets)
 
 
 class StringKernelSvm:
@@ -112,13 +132,15 @@ class StringKernelSvm:
             return
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-        self._landmarks(self._choose(data, offsets, y, landmarks))
-        x = np.concatenate([self.similar(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, CHUNK)])
+        code, sure = self._choose(data, offsets, y, landmarks)
+        self._landmarks(code)
+        x, of = self._sample(data, offsets, y, sure)
+        y = y[of]
         value, vector = np.linalg.eigh(self.gram + 1e-3 * np.eye(len(self.gram)))
         white = vector @ np.diag(value**-0.5) @ vector.T if len(value) else np.zeros((0, 0))
         white = np.kron(np.eye(2), white)
         z, every = x @ white, np.arange(x.shape[1])
-        fold, seen = np.arange(len(y)) % 2, np.zeros(len(y))
+        fold, seen = of % 2, np.zeros(len(y))
         for part in (0, 1):  # decision values for the calibration come from rows not fitted on
             fit = np.flatnonzero(fold != part)
             if (y[fit] > 0).any() and (y[fit] < 0).any():
@@ -128,9 +150,27 @@ class StringKernelSvm:
         self.alpha, self.bias = white @ w[:-1], float(w[-1])
         self.slope, self.offset = platt(seen, y, np.where(y > 0, share / (y > 0).mean(), (1 - share) / (y < 0).mean()))
 
+    def _sample(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities of the texts and of their gapped copies, and the text of each row.
+
+        A toxic text whose copies lost what makes it toxic would teach nothing, so only those
+        have copies that hold a sure landmark: one that no other text holds and so many toxic
+        ones do that it isn't chance. The other class has copies of all its texts.
+        """
+        rng = np.random.default_rng(1)
+        parts = [(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, CHUNK)]
+        x = np.concatenate([self.similar(*p) for p in parts])
+        copied = np.flatnonzero((y < 0) | sure)
+        rows, of = [x], [np.arange(len(y))]
+        for n in GAPS:
+            rows.append(np.concatenate([self.similar(*gapped(*p, n, rng)) for p in parts])[copied])
+            of.append(copied)
+        return np.concatenate(rows), np.concatenate(of)
+
     def _landmarks(self, code: np.ndarray) -> None:
-        idx, w = triples(code)
-        size = norms(idx, w)
+        s = letters(code)
+        idx, w = triples(s)
+        size = norms(s)
         table = np.zeros((1 << 15, len(code)), np.float32)
         for z in range(len(code)):
             np.add.at(table[:, z], idx[z], w[z])
@@ -138,34 +178,40 @@ class StringKernelSvm:
         self.most = self.table.max(axis=1) if len(code) else np.zeros(1 << 15, np.float32)
         self.near = (table >= DECAY).any(axis=1) if len(code) else np.zeros(1 << 15, bool)
         self.near[: 1 << 10] = False
-        self.codes = code
-        self.gram = np.stack([self._kernel(code[z : z + 1])[0] for z in range(len(code))]) if len(code) else np.zeros((0, 0))
-
-    def _kernel(self, code: np.ndarray) -> np.ndarray:
-        """Normalised kernel of packed windows with each landmark, raised to `POWER` (which leaves it a kernel)."""
-        idx, w = triples(code)
-        out = np.zeros((len(code), self.table.shape[1]), np.float32)
-        for t in range(idx.shape[1]):
-            out += self.table[idx[:, t]] * w[:, t : t + 1]
-        return (out / np.maximum(norms(idx, w), 1e-9)[:, None].astype(np.float32)) ** POWER
-
-    def _bound(self, code: np.ndarray) -> np.ndarray:
-        """An upper bound of each window's kernel with any landmark, from each triple's greatest weight in one."""
-        out = np.zeros(len(code), np.float32)
-        for k in range(0, len(code), 8192):
-            idx, w = triples(code[k : k + 8192])
-            size = np.maximum(norms(idx, w), 1e-9).astype(np.float32)
-            out[k : k + 8192] = ((self.most[idx] * w).sum(axis=1) / size) ** POWER
-        return out
+        self.codes, self.size = code, np.maximum(size, 1e-9).astype(np.float32)
+        self.gram = self._kernel(code, 0.0)[1].astype(np.float64)
 
-    def _choose(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int, pool: int = 3000) -> np.ndarray:
-        """Substrings that between them occur in most toxic texts and in hardly any other.
+    def _kernel(self, code: np.ndarray, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows whose kernel with some landmark may reach `floor`, and their normalised kernel with each, raised to `POWER` (which leaves it a kernel), and whether they hold it nearly whole.
+
+        The bound takes each triple's greatest weight in a landmark. Triples that no landmark has are skipped.
+        """
+        rows, values, whole = [np.zeros(0, np.int64)], [np.zeros((0, self.table.shape[1]), np.float32)], [np.zeros((0, self.table.shape[1]), bool)]
+        for k in range(0, len(code), 2048):
+            s = letters(code[k : k + 2048])
+            idx, w = triples(s)
+            size = np.maximum(norms(s), np.float32(1e-9))
+            most = self.most[idx] * w
+            keep = np.flatnonzero((most.sum(axis=1) / size) ** POWER >= floor)
+            out = np.zeros((len(keep), self.table.shape[1]), np.float32)
+            row, place = np.nonzero(most[keep])
+            if len(row):
+                some, head = np.unique(row, return_index=True)
+                out[some] = np.add.reduceat(self.table[idx[keep[row], place]] * w[keep[row], place][:, None], head, axis=0)
+            rows.append(keep + k)
+            values.append((out / size[keep, None]) ** POWER)
+            whole.append(out >= np.float32(FULL) * self.size)
+        return np.concatenate(rows), np.concatenate(values), np.concatenate(whole)
+
+    def _choose(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int, pool: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+        """Substrings that between them occur in most toxic texts and in hardly any other, and whether each text holds a sure one.
 
         Greedy cover: the next landmark is the one that reaches most toxic texts which have
         fewer than `DEEP` so far, each other text that it reaches counting against it fivefold,
         or twofold where the reach is that of repeats. One that gains less than a hundredth of
         the toxic texts is left out, for chance brings as much; so is a part or an extension of
-        a landmark, if both open a unit or neither does, for the kernel sees it anyway.
+        a landmark, if both open a unit or neither does, for the kernel sees it anyway. One is
+        sure if no other text holds it and at least `SURE` of the toxic ones do.
         """
         toxic, found = y > 0, []
         for length in LENGTHS:
@@ -198,6 +244,7 @@ class StringKernelSvm:
         spelt = [bytes(x for x in row if x) for row in letters(np.array([f[2] for f in found], U64)).tolist()]
         opens = [w[0] == OPEN for w in spelt]
         cost, reached, chosen = np.array([f[4] for f in found]) * inside[:, ~toxic].sum(axis=1), np.zeros(len(y), np.int64), []
+        sure = np.zeros(len(y), bool)
         while len(chosen) < most and found:
             gain = inside[:, toxic & (reached < DEEP)].sum(axis=1) - cost
             k = int(gain.argmax())
@@ -205,11 +252,13 @@ class StringKernelSvm:
                 break
             chosen.append(found[k][2])
             reached += inside[k]
+            if found[k][4] == 5.0 and not inside[k, ~toxic].any() and inside[k].sum() >= SURE * toxic.sum():
+                sure |= inside[k]
             cost[[j for j, w in enumerate(spelt) if opens[j] == opens[k] and (w in spelt[k] or spelt[k] in w)]] = np.inf
-        return np.array(chosen, U64)
+        return np.array(chosen, U64), sure
 
     def similar(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Each text's best kernel value with each landmark, then the density of its kernel values of at least a half."""
+        """Each text's best kernel value with each landmark, then the density of those of windows that hold it nearly whole (`FULL`)."""
         m = len(self.codes)
         out = np.zeros((len(offsets) - 1, 2 * m), np.float32)
         if not m:
@@ -224,21 +273,24 @@ class StringKernelSvm:
             third = s[:, c]
             hits += self.near[s[:, a] << 10 | s[:, b] << 5 | third] & (third > 0)
         look = np.flatnonzero(hits >= 2)
-        look = look[self._bound(distinct[look]) >= FLOOR]
+        rows, kernel, whole = self._kernel(distinct[look])
         number = np.full(len(distinct), -1)
-        number[look] = np.arange(len(look))
-        kernel = np.concatenate([self._kernel(distinct[look[k : k + 4096]]) for k in range(0, len(look), 4096)] or [out[:0, :m]])
+        number[look[rows]] = np.arange(len(rows))
         which = number[back]
         some = np.flatnonzero(which >= 0)
         if len(some):
             texts, head = np.unique(row[some], return_index=True)
-            for k in range(0, len(texts), 256):
-                a, b = head[k], head[k + 256] if k + 256 < len(head) else len(some)
-                near, at = kernel[which[some[a:b]]], head[k : k + 256] - a
+            k, stop = 0, np.append(head[1:], len(some))
+            while k < len(texts):  # whole texts, some rows of the kernel at a time
+                a = head[k]
+                upto = max(k + 1, int(np.searchsorted(stop, a + ROWS, "right")))
+                pick, at = which[some[a : stop[upto - 1]]], head[k:upto] - a
+                near = kernel[pick]
                 near[near < FLOOR] = 0
-                out[texts[k : k + 256], :m] = np.maximum.reduceat(near, at, axis=0)
-                near[near < 0.5] = 0
-                out[texts[k : k + 256], m:] = np.add.reduceat(near, at, axis=0)
+                out[texts[k:upto], :m] = np.maximum.reduceat(near, at, axis=0)
+                near[~whole[pick]] = 0
+                out[texts[k:upto], m:] = np.add.reduceat(near, at, axis=0)
+                k = upto
         out[:, m:] = np.minimum(out[:, m:] * (PER / size)[:, None], 1)
         return out
 
