@@ -30,6 +30,16 @@ def test_recall_at_the_limit(n, where):
     assert all(found[key][0] <= int(decontam.EDITS * n) for key in found)
 
 
+def test_chance_of_the_samples():
+    for run in range(1, 9):
+        few, many = (len(decontam.sampled_steps(run, False, recall, 5)) for recall in (0.9, 0.9999))
+        assert 1 <= few <= many
+    assert decontam.sampled_steps(2, False, 0.99, 5)[0][2] == 1 and len(decontam.sampled_steps(4, True, 0.999, 5)) == 1
+    for n in range(1, 40):  # the edits that leave the shortest runs
+        k = n // 5
+        assert decontam.intact_run(n, k) * (k + 1) >= n - k
+
+
 def test_repetitive_texts_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(decontam, "PAIRS", 64)
     looked = decontam.Items([1], ["la " * 12 + "di da"])
