@@ -53,30 +53,6 @@ def test_substring_dedup_equals_sql(docs):
     same(got, substring_dedup.OP3_SQL, documents=docs)
 
 
-@pytest.mark.parametrize("limit", [minhash.GROUP_BYTES, 2000])
-def test_minhash_equals_sql(docs, limit):
-    got = minhash.near_duplicates(docs.where("doc_id IS NOT NULL"), percent=85, group_bytes=limit).withColumnRenamed("id", "doc_id")
-    same(got, minhash.OP4_SQL, documents=docs.where("doc_id IS NOT NULL"))
-
-
-def test_linked_parts_brute_force():
-    rng = np.random.default_rng(2)
-    base = [rng.choice(10_000, 200, replace=False) for _ in range(4)]
-    sets = []
-    for k in range(60):
-        s = base[k % 4].copy()
-        s[: rng.integers(0, 30)] += 20_000 + 1000 * k
-        sets.append(np.unique(s).astype(np.uint64))
-    label = np.arange(60)
-    for i in range(60):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
-                label[label == label[i]] = label[j]
-    found = minhash.linked_parts(sets, 85)
-    assert [[label[i] == label[j] for j in range(60)] for i in range(60)] == [[found[i] == found[j] for j in range(60)] for i in range(60)]
-
-
 def test_jump_hash(docs):
     keys = textcore.mix(np.arange(5000, dtype=np.uint64))
     a, b = sharding.jump_hash(keys, 40), sharding.jump_hash(keys, 41)

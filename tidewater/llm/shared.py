@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,26 +17,53 @@ from pyspark.sql import types as T
 SLICE_BYTES = 24 << 20
 
 
+#: Paths written by `saved` within the open `scratch` blocks, innermost last.
+_open: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new, unused path under ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder (tests on one machine) a local
-    temporary folder is used instead.
+    Where the session names no such folder, the checkpoint folder set on its context is
+    taken, and on a local master, as in tests, a temporary one; on a cluster that raises,
+    since other machines couldn't read it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidewater-")
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage ends there."""
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back: lineage ends there.
+
+    The files go when the innermost open `scratch` block ends, or with `keep` when the one
+    around it does; without such a block they stay, since the result is read later.
+    """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    owners = _open[:-1] if keep else _open
+    if owners:
+        owners[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the files that `saved` wrote in it; what leaves the block must not read them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def release() -> None:
     """Give freed memory back to the system where the C library can; after a fit the driver would keep its peak."""
     pa.default_memory_pool().release_unused()
