@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.decontam import drop_contaminated
-from tidewater.llm.minhash import near_duplicates
+from tidewater.llm.minhash import one_of_each
 from tidewater.llm.mixing import Mix
-from tidewater.llm.shared import saved
+from tidewater.llm.shared import saved, scratch
 from tidewater.llm.sharding import assign_shards
 from tidewater.llm.toxicity import drop_toxic
 
@@ -23,14 +23,13 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group (0.8 over five-word shingles).
+def one_document_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (0.8 over five-word shingles), that with the least id.
 
-    Texts without words are in no group and stay. Rows that share an id are one document
-    and stay or go together if any of them heads its group; null ids count as one such id.
+    Texts without words are in no group and stay. Null ids come last; of rows that share id
+    and text one stays, chosen by its other columns.
     """
-    heads = near_duplicates(docs, percent=80).where("kept").select(F.col("id").alias("__head")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__head")), "left_semi")
+    return one_of_each(docs, percent=80)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", clean_language),
-    ("near_duplicates", one_of_each),
+    ("near_duplicates", one_document_each),
     ("decontamination", no_benchmark),
     ("mixing", mixture),
     ("sharding", sharded),
@@ -73,7 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark):  # what a stage wrote on its way goes once its rows are written
+            docs = saved(stage(spark, docs, sf_dir), keep=True)
