@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidewater.llm import quality, quotes, toxicity, warc
+from tidewater.llm import linear, quality, quotes, toxicity, warc
 
 INSULTS = ("blorgface", "snivelwit", "dungbrain")
 
@@ -102,6 +102,26 @@ def test_quotes_equal_sql(spark):
     assert sorted(str(tuple(r[c] for c in want.columns)) for r in got) == sorted(map(str, want.fetchall()))
 
 
+def test_deep_and_long_quotes(spark):
+    """Marks by the hundred thousand, lines of a megabyte, blanks without end: each a defined result in short time."""
+    deep, long = ">" * 100_000, "word " * 200_000 + "end."
+    turns = [
+        (1, 0, "a", long),
+        (1, 1, "b", f"> {long}\nagreed"),
+        (2, 0, "a", "Deep words."),
+        (2, 1, "b", f"{deep} Deep words.\nmine"),
+        (2, 2, "c", " >" * 50_000 + " deepest\n" + "\t> Deep words.\n" * 20_000),
+        (3, 0, "a", "> quote\nx" + " " * 1_000_000 + "y" + "\n" * 300_000),
+        (4, 0, "a", "\n".join(f"{'>' * (k % 300)} line {k}" for k in range(30_000))),
+    ]
+    rows = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert (rows[1, 1]["parent_turn"], rows[1, 1]["n_linked"], rows[1, 1]["clean_text"]) == (0, 1, "agreed")
+    assert (rows[2, 1]["max_level"], rows[2, 1]["parent_turn"], rows[2, 1]["clean_text"]) == (100_000, 0, "mine")
+    assert (rows[2, 2]["max_level"], rows[2, 2]["parent_turn"], rows[2, 2]["clean_text"]) == (50_000, 0, "")
+    assert rows[3, 0]["clean_text"] == "x" + " " * 1_000_000 + "y"
+    assert rows[4, 0]["max_level"] == 299 and rows[4, 0]["n_quoted"] == 29_900 and rows[4, 0]["clean_text"].count("\n") == 99
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, labels = corpus
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -114,3 +134,15 @@ def test_pipeline(spark, corpus, tmp_path):
     assert 1 not in left and len(left & toxic) <= 3 and len(left) > 350
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_training_sample_is_bounded(spark):
+    """An id that labels name and the table repeats brings its equal texts once, and no more rows or bytes than allowed."""
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(1, f"other {k}") for k in range(30)] + [(k, "x" * 100) for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, y int")
+    texts, y, _ = linear.training_rows(docs, labels, "y", 5, 9, per_class=10)
+    assert len(texts) <= 20 and (y > 0).sum() <= 10 and (y < 0).sum() == 10
+    few, signs, _ = linear.training_rows(docs, labels, "y", 5, 9, per_class=10, per_bytes=250)
+    assert sum(len(t) for t, k in zip(few, signs, strict=True) if k < 0) <= 250
+    with pytest.raises(ValueError):
+        toxicity.StringKernelSvm(["a"] * 65_537, np.tile([1, -1], 32_769)[:65_537], 0.5)

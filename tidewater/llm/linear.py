@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each class that a model is fitted on, those with the least hashed ids.
-SAMPLE_PER_CLASS = 2000
+#: Labelled rows of each class that a model is fitted on, those with the least hashed ids, and the bytes of text of each class.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2000, 64 << 20
 
 
 def dual_coordinate_descent(rows: Sequence[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, dim: int, c: float = 1.0, epochs: int = 30, seed: int = 3) -> np.ndarray:
@@ -65,12 +65,14 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], np.ndarray, float]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int = SAMPLE_PER_CLASS, per_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels (1, -1) of the training sample, and the share of label 1.
 
     Rows of the held-out fold never take part. Repeated labels of an id count as 1 where
     any is 1; null labels and null ids are left out. The sample is `per_class` ids of
-    each class, those least by hash, so it doesn't change with partitioning.
+    each class, those least by hash, and of their rows, an id's equal texts once, as many of
+    each class, as long as they hold at most `per_bytes` of text; so it doesn't change with
+    partitioning, and however often an id is repeated the driver holds no more.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -80,7 +82,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.union(part)
     ids = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, y int")
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(ids), "doc_id")
+    # first which rows, then their texts: narrow rows decide, and no more than the sample reaches the driver
+    tell = rows.select("y", "doc_id", "h", F.octet_length("text").cast("long").alias("bytes")).distinct()
+    chosen = []
+    for y in (0, 1):
+        total = 0
+        for r in tell.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(per_class).collect():
+            total += r["bytes"]
+            if total > per_bytes:
+                break
+            chosen.append((r["doc_id"], r["h"], r["y"]))
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, y int")
+    found = rows.drop("y").join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
     total = counts.get(0, 0) + counts.get(1, 0)
     return [r["text"] for r in found], np.array([1 if r["y"] else -1 for r in found]), counts.get(1, 0) / total if total else 0.5

@@ -14,24 +14,47 @@ from pyspark.sql import functions as F
 
 from .shared import saved
 
+# No pattern repeats a group, and none but the first can start inside a run: Java's engine
+# then neither recurses nor goes over a run again, however long it is.
 QUOTE = r"^[ \t]*>"
-MARKS = r"^(?:[ \t]*>)+[ \t]?"
+MARKS = r"^[ \t>]*>[ \t]?"
 #: Line ends of attribution lines, in the corpus's languages; fixed values.
 ATTRIBUTION = r"(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+#: They part passages, and a passage's level from its text; in quoted text they count as blanks.
+PART, AFTER = "\x00", "\x01"
 
 
 def _level(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", ""))
+    """Number of '>' among the blanks and marks that a line starts with."""
+    return F.length(F.regexp_replace(F.regexp_extract(line, r"^[ \t>]*", 0), "[^>]", ""))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, "\r\n", "\n"), "\n")
+def _records(text: Column) -> Column:
+    """``line, level, intro`` of each line: its quote level, and whether it announces the quote below it.
+
+    Neighbours stand side by side by zipping, so no line looks the whole array up.
+    """
+    lines = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n")
+    below = F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(None).cast("string")))
+    return F.zip_with(lines, below, lambda x, y: F.struct(x.alias("line"), _level(x).alias("level"), (x.rlike(ATTRIBUTION) & F.coalesce(y.rlike(QUOTE), F.lit(False))).alias("intro")))
 
 
-def _own(lines: Column) -> Column:
+def _own(records: Column, sep: str) -> Column:
     """Lines that are neither quoted nor announce the quote below them."""
-    nxt = lambda i: F.coalesce(F.get(lines, i + 1).rlike(QUOTE), F.lit(False))
-    return F.filter(lines, lambda x, i: ~x.rlike(QUOTE) & ~(x.rlike(ATTRIBUTION) & nxt(i)))
+    return F.array_join(F.transform(F.filter(records, lambda r: (r["level"] == 0) & ~r["intro"]), lambda r: r["line"]), sep)
+
+
+def _passages(records: Column) -> Column:
+    """``level, passage``: all own lines as one, and each run of lines of one quote level. A line stands in one passage, however deep it is."""
+    above = F.concat(F.array(F.lit(0)), F.transform(F.slice(records, 1, F.size(records) - 1), lambda r: r["level"]))
+
+    def marked(r: Column, level: Column) -> Column:
+        body = F.translate(F.regexp_replace(r["line"], MARKS, ""), PART + AFTER, "  ")
+        return F.when(r["level"] == 0, F.lit("")).when(r["level"] == level, F.concat(F.lit(" "), body)).otherwise(F.concat(F.lit(PART), r["level"].cast("string"), F.lit(AFTER), body))
+
+    runs = F.filter(F.split(F.array_join(F.zip_with(records, above, marked), ""), PART), lambda p: p != "")
+    quoted = F.transform(runs, lambda p: F.struct(F.substring_index(p, AFTER, 1).cast("int").alias("level"), F.substring_index(p, AFTER, -1).alias("passage")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("level"), _own(records, " ").alias("passage"))), quoted)
 
 
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -45,22 +68,17 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     root_turn, depth, turn) gives reply order; messages without parent are roots (depth 0).
 
     Null text counts as empty but stays null in `clean_text`; texts without quotes stay
-    unchanged. Messages with a null conversation or turn link with nothing. Rows with one
+    unchanged, quotes of any depth and lines of any length are handled in time that
+    follows the text's length. Messages with a null conversation or turn link with nothing. Rows with one
     (conversation, turn) share their links, and their quotes count together. An empty
     table gives no rows; further columns are ignored.
     """
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    quoting = F.coalesce(F.col("text").rlike("(?m)" + QUOTE), F.lit(False))
+    quoting = F.coalesce(F.col("text").rlike("(^|\n)[ \t]*>"), F.lit(False))
     threads = rows.where(quoting & F.col("conv_id").isNotNull()).select("conv_id").distinct()
-    # only conversations with quotes are taken apart
-    parts = rows.where(F.col("turn").isNotNull()).join(threads, "conv_id", "left_semi").withColumn("lines", _lines(F.coalesce("text", F.lit(""))))
-    top = F.array_max(F.transform("lines", _level))
-    levels = parts.select("conv_id", "turn", "lines", F.explode(F.sequence(F.lit(0), top)).alias("level"))
-    own = _own(F.col("lines"))
-    marked = F.transform("lines", lambda x: F.when(_level(x) == F.col("level"), F.regexp_replace(x, MARKS, "")).otherwise(F.lit("\x00")))
-    # attribution lines are no one's words: they vanish from level 0 before it is cut
-    mine = F.array_join(F.when(F.col("level") == 0, own).otherwise(marked), " ")
-    passages = levels.select("conv_id", "turn", "level", F.explode(F.split(mine, "\x00")).alias("passage"))
+    # only conversations with quotes are taken apart; attribution lines are no one's words
+    parts = rows.where(F.col("turn").isNotNull()).join(threads, "conv_id", "left_semi")
+    passages = parts.select("conv_id", "turn", F.explode(_passages(_records(F.coalesce("text", F.lit(""))))).alias("p")).select("conv_id", "turn", "p.level", "p.passage")
     sentences = F.split(F.regexp_replace("passage", r"([.!?])[ \t]+", "$1\n"), "\n")
     unit = F.trim(F.regexp_replace(F.lower(F.col("unit")), r"[ \t]+", " "))
     units = passages.select("conv_id", "turn", "level", F.explode(sentences).alias("unit")).select("conv_id", "turn", "level", unit.alias("unit")).where("unit <> ''")
@@ -80,7 +98,7 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         if step.where("moved").isEmpty():
             break
     joined = rows.join(links, ["conv_id", "turn"], "left").join(state, ["conv_id", "turn"], "left")
-    clean = F.regexp_replace(F.array_join(_own(_lines(F.col("text"))), "\n"), r"^\s+|\s+$", "")
+    clean = F.btrim(_own(_records(F.col("text")), "\n"), F.lit(" \t\n\f\r"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
         "conv_id", "turn", "role", zero("n_quoted").cast("long").alias("n_quoted"), zero("n_linked").cast("long").alias("n_linked"), zero("max_level").cast("int").alias("max_level"),

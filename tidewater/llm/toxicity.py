@@ -50,7 +50,8 @@ for _mark, _letter in zip(b"013457@", b"oieasta", strict=True):
     SYMBOL[_mark] = _letter - 96
 TRIPLES = np.array(list(combinations(range(SPAN), 3)))
 WEIGHT = (DECAY ** (TRIPLES[:, 2] - TRIPLES[:, 0] - 2)).astype(np.float32)
-#: Places that three letters in a row of a landmark take with up to two letters inserted.
+#: Places that three letters in a row of a landmark take with up to two letters inserted. A window without two such triples
+#: counts as unlike every landmark, in training and in scoring; that is part of the similarity, not a bound on the kernel.
 NEAR = TRIPLES[TRIPLES[:, 2] - TRIPLES[:, 0] <= 4]
 
 
@@ -130,6 +131,8 @@ class StringKernelSvm:
             share = min(max(share, 1e-6), 1 - 1e-6)
             self.offset = float(np.log(share / (1 - share)))
             return
+        if len(texts) > 1 << 16:
+            raise ValueError("at most 65,536 texts train a model")  # a text's number has 16 bits in `_choose`
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         code, sure = self._choose(data, offsets, y, landmarks)
