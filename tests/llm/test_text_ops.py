@@ -73,20 +73,70 @@ def test_jump_hash(docs):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def test_mixing(docs):
-    mix = mixing.Mix(docs, block=8)
+    mix = mixing.Mix(docs, block=8, shard_slots=32, carry=True)
     rows = mix.taken().collect()
     assert len(rows) == docs.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     for s, t in mix.targets.items():
         assert abs(sum(r["taken"] for r in rows if r["source"] == s) - t) <= 8
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.Mix(docs, block=8).taken().collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.Mix(docs.repartition(7), block=8, shard_slots=32).taken().collect()))
     made = mix.texts().collect()
-    assert sum(len(re.findall(mixing.WORD, r["text"])) for r in made) == sum(r["taken"] for r in rows)
+    assert sum(len(re.findall(WORD, r["text"])) for r in made) == sum(r["taken"] for r in rows)
     k = np.arange(1000)
     assert sorted(mixing.permute(k, np.full(1000, 1000), np.full(1000, 7, np.uint64))) == k.tolist()
     assert mixing.targets({"a": 10, "b": 90, None: 100}) == {"a": 20.0, "b": pytest.approx(280 / 3), None: pytest.approx(560 / 3)}
 
 
+def test_mixing_brute_force(docs):
+    """`taken` from a list of every word's slot count, with streams, blocks and slots laid out one after another."""
+    mix = mixing.Mix(docs, block=8, shard_slots=32)
+    want = {}
+    place = {r["rid"]: r for r in mix.streams().collect()}
+    times = {}
+    for r in mix.slots().collect():
+        times[r["source"], r["block"]] = times.get((r["source"], r["block"]), 0) + 1
+    for s, size in mix.sizes.items():
+        stream = [None] * size
+        for rid, r in place.items():
+            if r["source"] == s:
+                assert stream[r["at"] : r["at"] + r["size"]] == [None] * r["size"]
+                stream[r["at"] : r["at"] + r["size"]] = [rid] * r["size"]
+        assert None not in stream
+        for w, rid in enumerate(stream):
+            want[rid] = want.get(rid, 0) + times.get((s, w // 8), 0)
+    about = {r["rid"]: (r["doc_id"], r["size"], r["source"]) for r in mix.docs.collect()}
+    got = [(r["doc_id"], r["size"], r["source"], r["taken"]) for r in mix.taken().collect()]
+    assert sorted(map(str, got)) == sorted(str((*about[rid], want.get(rid, 0))) for rid in about)
+    slots = sorted(r["slot"] for r in mix.slots().collect())
+    assert slots == list(range(sum(mix.quota)))
+
+
+@pytest.mark.parametrize("quota", [[7], [0, 5, 1000, 3], [64, 64], [1] * 50, []])
+def test_draws_fill_shards_and_quotas(quota):
+    shards = -(-sum(quota) // 32)
+    every = list(mixing.draws(quota, 32, 3, 0, shards))
+    assert [s for s, *_ in every] == list(range(shards))
+    assert [int(own.sum()) for _, own, _ in every] == [min(32, sum(quota) - 32 * s) for s in range(shards)]
+    seen = np.zeros(len(quota), np.int64)
+    for shard, own, before in every:
+        assert before.tolist() == seen.tolist()
+        seen += own
+        (alone,) = mixing.draws(quota, 32, 3, shard, shard + 1)
+        assert alone[1].tolist() == own.tolist() and alone[2].tolist() == before.tolist()
+    assert seen.tolist() == quota
+
+
+def test_mixing_keeps_rows_that_differ_elsewhere(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    d = spark.createDataFrame([(1, text, "s", 10), (1, text, "s", 20), (1, text, "s", 20), (2, text, "s", 30)], "doc_id long, text string, source string, more int")
+    rows = mixing.Mix(d, block=8, carry=True, share=2.0).texts().collect()
+    assert sorted(r["more"] for r in rows) == [10, 10, 20, 20, 20, 20, 30, 30] and all(r["text"] == text for r in rows)
+    assert sorted(r["more"] for r in mixing.Mix(d.repartition(4), block=8, carry=True).texts().collect()) == sorted(r["more"] for r in mixing.Mix(d, block=8, carry=True).texts().collect())
+
+
 def test_media(docs):
     hits = media.automaton()
     png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + t + d + zlib.crc32(t + d).to_bytes(4, "big") for t, d in ((b"IHDR", b"\0" * 13), (b"IEND", b"")))

@@ -1,15 +1,15 @@
 """Mixing sources to target weights over fixed-length token blocks.
 
-Each source's documents form one stream, cut into blocks of `block` words. Every output
-shard draws how many of its slots each source fills from a multinomial over the targets,
-held to what is left of the source's quota. A source's k-th slot goes through a keyed
-permutation of its block numbers, and blocks are joined to slots by number.
+Each source's documents form one stream, cut into blocks of `block` words. How many of its
+slots each source fills is drawn for every output shard from a multinomial held to the
+sources' quotas: shards are halved again and again, the draw of each half has a seed of its
+own, and so any task can draw the counts of its shards alone. A source's k-th slot goes
+through a keyed permutation of its block numbers, and blocks are joined to slots by number.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import named, saved
-from .sharding import RUN_ROWS
+from .shared import saved
+from .sharding import RUN_ROWS, numbered
 from .textcore import U64, buffers, mix, slices, word_bounds
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
     """Target of each source: shares by weight, none above `cap` times its size.
@@ -49,21 +47,33 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2),
     return {s: out[s] for s in names}
 
 
-def draws(quota: list[int], shard_slots: int, seed: int) -> list[list[int]]:
-    """Per output shard, how many slots each source fills.
+def _drawn(left: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """`want` slots from a multinomial over what is left of the quotas; counts above a remainder are cut to it and drawn again."""
+    got = np.zeros(len(left), np.int64)
+    while want:
+        rest = left - got
+        more = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
+        got, want = got + more, want - int(more.sum())
+    return got
+
+
+def draws(quota: Sequence[int], shard_slots: int, seed: int, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For the shards from `lo` up to `hi`: how many slots each source fills, and how many it fills in all shards before.
 
-    A shard's counts are multinomial over what remains of the quotas; counts above a
-    remainder are cut to it and drawn again, so the totals are the quotas exactly.
+    All shards are full but the last, and all counts of a source make up its quota.
     """
-    left, out = np.array(quota, np.int64), []
-    while (total := int(left.sum())) > 0:
-        rng = np.random.default_rng([seed, len(out)])
-        want, got = min(shard_slots, total), np.zeros(len(left), np.int64)
-        while want:
-            more = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            got, left, want = got + more, left - more, want - int(more.sum())
-        out.append(got.tolist())
-    return out
+    every = np.array(quota, np.int64)
+    todo = [(0, -(-int(every.sum()) // shard_slots), every, np.zeros(len(every), np.int64))]
+    while todo:
+        a, b, own, before = todo.pop()
+        if b <= lo or a >= hi or a >= b:
+            continue
+        if b - a == 1:
+            yield a, own, before
+            continue
+        mid = (a + b) // 2
+        left = _drawn(own, (mid - a) * shard_slots, np.random.default_rng([seed, a, b]))
+        todo += [(mid, b, own - left, before + left), (a, mid, left, before)]
 
 
 def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -88,44 +98,50 @@ def _key(seed: int, source: str | None) -> int:
 
 
 class Mix:
-    """Plan of one mixture. `taken` counts words per document, `rows` builds the mixed texts.
+    """Plan of one mixture. `taken` counts words per document, `texts` builds the mixed texts.
 
     Null text has no words; a null source is a source of its own. Sources without words
-    have target 0. Ids may be null or repeated; identical rows (id, text, source) lie side by
-    side in their source's stream and share what it gives them. An empty table gives an
-    empty mixture. Further columns are ignored by `taken` and kept by `texts`.
+    have target 0. Ids may be null or repeated, and rows may be equal: each row is a document
+    of its own. An empty table gives an empty mixture. Further columns are ignored by `taken`
+    and kept by `texts`, for which the rows must be carried along (`carry`). Columns of map
+    type don't help to tell rows apart.
 
-    One row per source (name, size, target) is held on the driver; documents, blocks and
-    slots never are.
+    One row per source (name, size, target) is held on the driver; documents, blocks, slots
+    and shards never are.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 8192, seed: int = 17, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0):
-        self.spark, self.block = df.sparkSession, block
-        self.df, self.cols = df, (id_col, text_col, source_col)
-        sized = counted(self._keyed(df)).groupBy("doc_id", "source", "tie", "size").agg(F.count(F.lit(1)).alias("n"))
-        self.docs = saved(sized)
-        per = self.docs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 8192, seed: int = 17, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, carry: bool = False):
+        self.spark, self.block, self.shard_slots, self.seed, self.carry = df.sparkSession, block, shard_slots, seed, carry
+        self.names, self.text_at = df.columns, df.columns.index(text_col)
+        plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+        at = lambda c: F.col(f"c{df.columns.index(c)}")  # noqa: E731 - by position: any names will do
+        told = [f.name for f in plain.schema if "map<" not in f.dataType.simpleString()]
+        others = [c for k, c in enumerate(plain.columns) if k != self.text_at] if carry else []
+        rows = plain.select(at(id_col).alias("doc_id"), at(source_col).alias("source"), F.xxhash64(F.coalesce(at(text_col).cast("string"), F.lit("")), at(id_col)).alias("tie"), F.xxhash64(*told).alias("rank"), at(text_col).cast("string").alias("text"), *others)
+        self.rows = saved(counted(rows, carry).withColumn("rid", F.monotonically_increasing_id()))
+        self.docs = self._told_apart(self.rows.select("rid", "doc_id", "source", "tie", "rank", "size"))
+        per = self.docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
         self.sizes = {r["source"]: int(r["size"]) for r in per}
         self.n_rows = sum(r["n"] for r in per)
         self.targets = targets(self.sizes, weights, share, cap)
         names = list(self.targets)
         blocks = {s: -(-self.sizes[s] // block) for s in names}
-        quota = [self._quota(self.targets[s], self.sizes[s], cap) for s in names]
-        start = np.zeros(len(names), np.int64)
-        plan, at = [], 0
-        for shard, got in enumerate(draws(quota, shard_slots, seed)):
-            for j, n in enumerate(got):
-                if n:
-                    plan.append((shard, names[j], at, int(start[j]), n))
-                    start[j] += n
-                    at += n
-        self.plan = plan
+        self.quota = [self._quota(self.targets[s], self.sizes[s], cap) for s in names]
         self.about = [(s, self.sizes[s], float(self.targets[s]), blocks[s], _key(seed, s)) for s in names]
 
-    def _keyed(self, df: DataFrame) -> DataFrame:
-        id_col, text_col, source_col = self.cols
-        body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(body, F.col(id_col)).alias("tie"), body.alias("text"))
+    @staticmethod
+    def _told_apart(docs: DataFrame) -> DataFrame:
+        """Adds ``twin``, which numbers equal rows from 0: the order of documents then depends on no row number of a run."""
+        keys = ["doc_id", "source", "tie", "rank"]
+        several = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*[F.col(k).alias(f"k_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+        twins = saved(docs.join(several, same, "left_semi"))
+        if twins.isEmpty():
+            return docs.withColumn("twin", F.lit(0).cast("long"))
+        twins = numbered(twins, keys, ["rid"], "twin").select("rid", "twin")
+        return saved(docs.join(twins, "rid", "left").withColumn("twin", F.coalesce("twin", F.lit(0).cast("long"))))
 
     def _quota(self, target: float, size: int, cap: float) -> int:
         """Slots whose words come nearest the target; the last block of a pass is short."""
@@ -139,48 +155,62 @@ class Mix:
     def sources(self) -> DataFrame:
         return self.spark.createDataFrame(self.about, "source string, source_size long, target double, n_blocks long, key long")
 
+    def plan(self) -> DataFrame:
+        """``out_shard, source, slot0, k0, n``: the run of slots that a source fills in a shard, drawn where the shard's row lies."""
+        quota, width, seed, names = self.quota, self.shard_slots, self.seed, [a[0] for a in self.about]
+        shards = -(-sum(quota) // width)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, rows = np.asarray(batch.column("id")), []
+                for run_ in np.split(ids, np.flatnonzero(np.diff(ids) != 1) + 1):
+                    if len(run_):
+                        for shard, own, before in draws(quota, width, seed, int(run_[0]), int(run_[-1]) + 1):
+                            at = shard * width + np.cumsum(own) - own
+                            rows += [(shard, names[j], int(at[j]), int(before[j]), int(own[j])) for j in np.flatnonzero(own)]
+                cols = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["out_shard", "source", "slot0", "k0", "n"])
+
+        parts = min(max(1, shards), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return self.spark.range(0, shards, 1, parts).mapInArrow(run, "out_shard int, source string, slot0 long, k0 long, n long")
+
     def slots(self) -> DataFrame:
         """``out_shard, slot, source, pass, block``: the mixture's order."""
         kinds = self._held(self.sources().select(F.col("source").alias("s"), "n_blocks", "key"))
-        plan = self.spark.createDataFrame(self.plan, "out_shard int, source string, slot0 long, k0 long, n long")
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         @F.pandas_udf(T.LongType())
         def number(k: pd.Series, n: pd.Series, key: pd.Series, turn: pd.Series) -> pd.Series:
             keys = mix(key.to_numpy(np.int64).view(U64) + turn.to_numpy(np.int64).view(U64))
             return pd.Series(permute(k.to_numpy(np.int64), n.to_numpy(np.int64), keys))
 
-        each = plan.repartition(width, "out_shard", "source").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        each = self.plan().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         each = each.join(kinds, F.col("source").eqNullSafe(F.col("s"))).withColumn("k", F.col("k0") + F.col("i"))
         each = each.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks")).cast("int"))
         block = number(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("key"), F.col("pass").cast("long"))
         return each.select("out_shard", (F.col("slot0") + F.col("i")).alias("slot"), "source", "pass", block.alias("block"))
 
     def streams(self) -> DataFrame:
-        """``doc_id, source, tie, size, n, at``: each document's first word in its source's stream."""
+        """``rid, source, size, at``: each document's first word in its source's stream."""
         runs = max(1, -(-self.n_rows // RUN_ROWS)) * 4
-        words = F.col("size") * F.col("n")
-        cut = self.docs.withColumn("run", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(runs)).cast("int"))
-        sums = cut.groupBy("source", "run").agg(F.sum(words).alias("words"))
+        order = ["doc_id", "tie", "rank", "twin"]
+        cut = self.docs.withColumn("run", F.pmod(F.xxhash64(*order), F.lit(runs)).cast("int"))
+        sums = cut.groupBy("source", "run").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
         bases = sums.select(F.col("source").alias("s"), F.col("run").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        within = Window.partitionBy("source", "run").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-        placed = cut.withColumn("own", F.coalesce(F.sum(words).over(within), F.lit(0)))
+        within = Window.partitionBy("source", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = cut.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
         placed = placed.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")))
-        return placed.select("doc_id", "source", "tie", "size", "n", (F.col("base") + F.col("own")).alias("at"))
+        return placed.select("rid", "source", "size", (F.col("base") + F.col("own")).alias("at"))
 
     def pieces(self) -> DataFrame:
-        """One row per document and block it lies in: ``lo, hi`` are its words there. Documents without words have none.
-
-        Identical rows are one document here whose words stand `n` times over.
-        """
-        b, words = self.block, F.col("size") * F.col("n")
+        """One row per document and block it lies in: ``lo, hi`` are its words there. Documents without words have none."""
+        b = self.block
         docs = self.streams().where("size > 0")
-        first, last = F.floor(F.col("at") / b).cast("long"), F.floor((F.col("at") + words - 1) / b).cast("long")
+        first, last = F.floor(F.col("at") / b).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / b).cast("long")
         each = docs.withColumn("block", F.explode(F.sequence(first, last)))
         lo = F.greatest(F.col("block") * b - F.col("at"), F.lit(0))
-        hi = F.least((F.col("block") + 1) * b - F.col("at"), words)
-        return each.select("doc_id", "source", "tie", "size", "n", "block", lo.alias("lo"), hi.alias("hi"))
+        hi = F.least((F.col("block") + 1) * b - F.col("at"), F.col("size"))
+        return each.select("rid", "source", "block", lo.alias("lo"), hi.alias("hi"))
 
     def chosen(self) -> DataFrame:
         """The pieces that the mixture takes, once per slot: pieces joined to slots by block number."""
@@ -188,18 +218,11 @@ class Mix:
         return self.pieces().join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
 
     def taken(self) -> DataFrame:
-        """``doc_id, size, source, source_size, target, taken``, one row per document.
-
-        Identical rows share what they were given as evenly as whole words allow.
-        """
-        keys = ["doc_id", "source", "tie", "size", "n"]
-        words = F.when(F.col("hi").isNull(), 0).otherwise(F.col("hi") - F.col("lo"))
-        none = self.docs.select(*keys, F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-        got = self.chosen().select(*keys, "lo", "hi").unionByName(none).groupBy(*keys).agg(F.sum(words).alias("t"))
-        each = got.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        part = F.floor(F.col("t") / F.col("n")) + F.when(F.col("i") < F.col("t") % F.col("n"), 1).otherwise(0)
+        """``doc_id, size, source, source_size, target, taken``, one row per input row."""
+        got = self.chosen().groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("t"))
         kinds = self._held(self.sources().select(F.col("source").alias("s"), "source_size", "target"))
-        return each.join(kinds, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source", "source_size", "target", part.cast("long").alias("taken"))
+        each = self.docs.join(got, "rid", "left").join(kinds, F.col("source").eqNullSafe(F.col("s")))
+        return each.select("doc_id", "size", "source", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
 
     def _held(self, kinds: DataFrame) -> DataFrame:
         """Broadcast the per-source table only while it is known to be small."""
@@ -209,56 +232,54 @@ class Mix:
         """The mixture as documents: each input row up to twice, with the words that were taken.
 
         Returns the input's columns and, last, ``copy`` (also where the input has a column of
-        that name); the n-th copy of a document holds, in
-        order, the pieces taken at least n times. A row whose words were all taken keeps
-        its text unchanged; rows of which nothing was taken are gone.
+        that name); the n-th copy of a document holds, in order, the pieces taken at least n
+        times. A row whose words were all taken keeps its text unchanged; rows of which
+        nothing was taken are gone.
         """
-        id_col, text_col, source_col = self.cols
-        keys = ["doc_id", "source", "tie", "size", "n"]
-        times = self.chosen().groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
-        lists = times.groupBy("doc_id", "source", "tie", "size").agg(F.collect_list(F.struct("lo", "hi", "c")).alias("parts"))
-        lists = lists.select(F.col("doc_id").alias("k0"), F.col("source").alias("k1"), F.col("tie").alias("k2"), F.col("size").alias("k3"), "parts")
-        names = self.df.columns
-        body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        rows = self.df.select(F.struct(*[named(c).alias(c) for c in names]).alias("row"), F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.xxhash64(body, F.col(id_col)).alias("t")).dropDuplicates(["i", "s", "t"])
-        both = rows.join(lists, F.col("i").eqNullSafe(F.col("k0")) & F.col("s").eqNullSafe(F.col("k1")) & (F.col("t") == F.col("k2")))
-
-        @F.udf(T.ArrayType(T.StringType()))
-        def build(text: str, size: int, parts: list) -> list[str]:
-            return _copies(text, size, [(p["lo"], p["hi"], p["c"]) for p in parts])
-
-        built = both.select("row", F.posexplode(build(F.col("row")[text_col].cast("string"), "k3", "parts")).alias("copy", "__text"))
-        return built.select(*[F.col("__text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], "copy")
+        if not self.carry:
+            raise ValueError("texts() needs a mixture that carries its rows")
+        times = self.chosen().groupBy("rid", "lo", "hi").agg(F.count(F.lit(1)).alias("c"))
+        lists = times.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "c")).alias("parts"))
+        at, n = self.text_at, len(self.names)
+        columns = ["text" if k == at else f"c{k}" for k in range(n)]
+        both = self.rows.select("rid", "size", *columns).join(lists, "rid").select("size", "parts", *columns)
+        kinds = T.StructType([T.StructField(f"c{k}", T.StringType() if k == at else both.schema[c].dataType) for k, c in enumerate(columns)] + [T.StructField("copy", T.IntegerType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi in slices(buffers(batch.column("text"))[1]):
+                    part = batch.slice(lo, hi - lo)
+                    made = [_copies(t, s, [(p["lo"], p["hi"], p["c"]) for p in ps]) for t, s, ps in zip(*(part.column(c).to_pylist() for c in ("text", "size", "parts")), strict=True)]
+                    rows = pa.array([k for k, m in enumerate(made) for _ in m], pa.int64())
+                    body = pa.array([t for m in made for t in m], pa.string())
+                    cols = [body if k == at else part.column(c).take(rows) for k, c in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array([k for m in made for k in range(len(m))], pa.int32())], kinds.names)
+
+        return both.mapInArrow(run, kinds).toDF(*self.names, "copy")
 
 
 def _copies(text: str, size: int, parts: list[tuple[int, int, int]]) -> list[str]:
-    """Texts of the copies that the taken word ranges make up, over all repeats of a row."""
-    counts: dict[int, list[tuple[int, int, int]]] = {}
-    for lo, hi, c in parts:
-        while lo < hi:  # a range may run over several repeats
-            rep, end = lo // size, min(hi, (lo // size + 1) * size)
-            counts.setdefault(rep, []).append((lo - rep * size, end - rep * size, c))
-            lo = end
+    """Texts of the copies that the taken word ranges, each with its count, make up."""
     data, bounds, out = b"", None, []
-    for rep in sorted(counts):
-        for n in range(1, max(c for *_, c in counts[rep]) + 1):
-            runs = sorted((lo, hi) for lo, hi, c in counts[rep] if c >= n)
-            if sum(hi - lo for lo, hi in runs) == size:
-                out.append(text)
-                continue
-            if bounds is None:  # places of words, not words: a long text costs little more than itself
-                data = text.encode()
-                starts, ends, _ = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                bounds = starts, ends
-            starts, ends = bounds
-            # bytes.split() parts words at 0x20 and 0x09-0x0D alone
-            out.append(b" ".join(b" ".join(data[starts[lo] : ends[hi - 1]].split()) for lo, hi in runs).decode())
+    for n in range(1, max(c for *_, c in parts) + 1):
+        runs = sorted((lo, hi) for lo, hi, c in parts if c >= n)
+        if sum(hi - lo for lo, hi in runs) == size:
+            out.append(text)
+            continue
+        if bounds is None:  # places of words, not words: a long text costs little more than itself
+            data = text.encode()
+            starts, ends, _ = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+            bounds = starts, ends
+        starts, ends = bounds
+        # bytes.split() parts words at 0x20 and 0x09-0x0D alone
+        out.append(b" ".join(b" ".join(data[starts[lo] : ends[hi - 1]].split()) for lo, hi in runs).decode())
     return out
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """``doc_id, source, tie, size``: `text` replaced by its number of words."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in ("doc_id", "source")}
+def counted(df: DataFrame, carry: bool) -> DataFrame:
+    """The rows with ``size``, the number of words of `text`, which itself goes unless it is to be carried."""
+    kept = [f for f in df.schema if carry or f.name != "text"]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,9 +288,9 @@ def counted(df: DataFrame) -> DataFrame:
             for lo, hi in slices(offsets):
                 base = offsets[lo]
                 size[lo:hi] = np.diff(word_bounds(data[base : offsets[hi]], offsets[lo : hi + 1] - base)[2])
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], batch[2], pa.array(size)], ["doc_id", "source", "tie", "size"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(size)], [*names, "size"])
 
-    return df.select("doc_id", "source", "tie", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, tie long, size long")
+    return df.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], T.StructField("size", T.LongType())]))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Only windows at positions whose residue modulo `PERIOD` lies in a difference cov
 hashed as anchors. Two equal stretches of PERIOD - 1 + ANCHOR words share an anchor that
 is aligned in both, whatever their offsets, so every repeated window of 13 words contains
 an anchor that a second place has too. Anchors found twice are extended: each window over
-one is compared by its own hash, and the smallest document that has it keeps it.
+one is compared by a 128-bit key of its own, and the smallest document that has it keeps it.
 
 Documents lie in slices of bounded text. A slice sends each distinct anchor and window
 once, whatever its number of occurrences, so a passage that a third of all documents
@@ -26,6 +26,8 @@ from .textcore import M_WORD2, U64, buffers, joined, row_of, slices, window_hash
 #: {0, 1, 3} covers all differences modulo 7.
 PERIOD, COVER = 7, (0, 1, 3)
 LAST = (1 << 63) - 1
+#: Slices that one partition may hold; they are worked on one after the other.
+SLICES = 64
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,12 +40,20 @@ def _anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return idx, hashes[idx]
 
 
-def _windows(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word indices at which a whole window starts, and its hash."""
-    hashes = window_hashes(words, window)
+def _windows(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word indices at which a whole window starts, and the two halves of its 128-bit key."""
+    hashes, more = window_hashes(words, window), window_hashes(words, window, M_WORD2)
     rows = row_of(first)[: len(hashes)]
     idx = np.flatnonzero(np.arange(len(hashes)) + window <= first[rows + 1])
-    return idx, hashes[idx]
+    return idx, hashes[idx], more[idx]
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
 
 def _spread(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,7 +103,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = slices_for(spark, text_bytes(docs, "text"))
-    docs = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(n, "slice")
+    docs = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SLICES)), "slice")
 
     def send_anchors(table: pa.Table) -> pa.Table:
         keys, shared = [], []
@@ -136,7 +146,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send_windows(table: pa.Table, answer: pa.Table) -> pa.Table:
         shared = _sorted(answer, "keys")
-        hs, ids = [], []
+        hs, gs, ids = [], [], []
         for data, offsets, doc, _ in _parts(table):
             starts, ends, first = word_bounds(data, offsets)
             words = word_hashes(data, starts, ends)
@@ -144,55 +154,54 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = np.zeros(len(words) + PERIOD + 1, np.int64)
             hit[idx[_member(h & U64(0xFFFFFFFFFF), shared)]] = 1
             total = np.concatenate([[0], np.cumsum(hit)])
-            at, w = _windows(words, first, window)
+            at, w, v = _windows(words, first, window)
             near = total[at + PERIOD] > total[at]
             hs.append(w[near])
+            gs.append(v[near])
             ids.append(doc[row_of(first)[at[near]]])
-        h, doc = np.concatenate(hs or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first_of = np.flatnonzero(new)
+        none = np.zeros(0, U64)
+        h, g, doc = np.concatenate(hs or [none]), np.concatenate(gs or [none]), np.concatenate(ids or [np.zeros(0, np.int64)])
+        order = np.lexsort((doc, g, h))
+        h, g, doc = h[order], g[order], doc[order]
+        first_of = np.flatnonzero(_new(h, g))
         last_of = np.append(first_of[1:], len(h)) - 1 if len(h) else first_of
         several = doc[last_of] != doc[first_of]
         sid = (table["slice"] if len(table) else answer["slice"])[0].as_py()
-        return pa.Table.from_batches([_by_bucket(sid, h[first_of], n, doc[first_of], several.astype(np.uint8))])
+        return pa.Table.from_batches([_by_bucket(sid, h[first_of], n, g[first_of], doc[first_of], several.astype(np.uint8))])
 
     def meet_windows(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, U64) for x in table["keys"].to_pylist()]
-        docs_ = np.concatenate([np.frombuffer(x, np.int64) for x in table["c0"].to_pylist()])
-        several = np.concatenate([np.frombuffer(x, np.uint8) for x in table["c1"].to_pylist()])
-        every = np.concatenate(keys)
-        uniq, back = np.unique(every, return_inverse=True)
-        least = np.full(len(uniq), LAST, np.int64)
-        np.minimum.at(least, back, docs_)
-        smallest = least[back]
-        hit = (smallest < docs_) | (several > 0)
-        out_k, out_d, at = [], [], 0
-        for k in keys:
-            part = hit[at : at + len(k)]
-            out_k.append(k[part].tobytes())
-            out_d.append(smallest[at : at + len(k)][part].tobytes())
+        columns = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("keys", U64), ("c0", U64), ("c1", np.int64), ("c2", np.uint8))]
+        h, g, doc, several = (np.concatenate(c) for c in columns)
+        order = np.lexsort((doc, g, h))
+        new = _new(h[order], g[order])
+        smallest = np.empty(len(h), np.int64)
+        smallest[order] = doc[order][new][np.cumsum(new) - 1]
+        hit = (smallest < doc) | (several > 0)
+        out, at = [], 0
+        for k in columns[0]:
+            part = slice(at, at + len(k))
+            out.append([x[part][hit[part]].tobytes() for x in (h, g, smallest)])
             at += len(k)
-        return pa.table({"slice": table["slice"], "keys": pa.array(out_k, pa.binary()), "least": pa.array(out_d, pa.binary())})
+        keys, more, least = zip(*out, strict=True)
+        return pa.table({"slice": table["slice"], "keys": pa.array(keys, pa.binary()), "more": pa.array(more, pa.binary()), "least": pa.array(least, pa.binary())})
 
     def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, U64) for x in answer["keys"].to_pylist()] or [np.zeros(0, U64)])
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in answer["least"].to_pylist()] or [np.zeros(0, np.int64)])
-        order = np.argsort(keys)
-        keys, least = keys[order], least[order]
+        keys, more, least = (np.concatenate([np.frombuffer(x, kind) for x in answer[c].to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", U64), ("more", U64), ("least", np.int64)))
+        order = np.lexsort((more, keys))
+        keys, more, least = keys[order], more[order], least[order]
+        times = int(np.diff(np.append(np.flatnonzero(_new(keys)), len(keys))).max(initial=0))  # keys that share their first half
         out = []
         for data, offsets, doc, rows in _parts(table):
             starts, ends, first = word_bounds(data, offsets)
-            at, w = _windows(word_hashes(data, starts, ends), first, window)
+            at, w, v = _windows(word_hashes(data, starts, ends), first, window)
             row = row_of(first)
             gone = np.zeros(len(starts) + 1, np.int64)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-                bad = at[(keys[place] == w) & (least[place] < doc[row[at]])]
-                gone[bad] += 1
-                gone[bad + window] -= 1
+            head = np.searchsorted(keys, w)
+            for k in range(times):
+                place = np.minimum(head + k, len(keys) - 1)
+                bad = at[(keys[place] == w) & (more[place] == v) & (least[place] < doc[row[at]])]
+                np.add.at(gone, bad, 1)
+                np.subtract.at(gone, bad + window, 1)
             keep = np.cumsum(gone)[:-1] == 0
             n_words = np.diff(first)
             kept = np.bincount(row[keep], minlength=len(n_words))
@@ -201,8 +210,8 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sent = docs.groupBy("slice").applyInArrow(send_anchors, "bucket int, slice long, keys binary, c0 binary")
     shared = sent.groupBy("bucket").applyInArrow(meet_anchors, "slice long, keys binary")
-    candidates = docs.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(send_windows, "bucket int, slice long, keys binary, c0 binary, c1 binary")
-    found = candidates.groupBy("bucket").applyInArrow(meet_windows, "slice long, keys binary, least binary")
+    candidates = docs.groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(send_windows, "bucket int, slice long, keys binary, c0 binary, c1 binary, c2 binary")
+    found = candidates.groupBy("bucket").applyInArrow(meet_windows, "slice long, keys binary, more binary, least binary")
     return docs.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_text string")
 
 

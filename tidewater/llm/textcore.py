@@ -21,7 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd multipliers of the polynomial hashes.
 M_BYTE, M_WORD, M_WORD2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
-_MASK = (1 << 64) - 1
+#: Words of more bytes are hashed by blake2b: texts of that length can be made on which a polynomial modulo 2^64 collides.
+LONG_WORD = 1024
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,8 +90,6 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base = int(starts[lo])
         hi = int(np.searchsorted(ends, base + SLICE, "right"))
         if hi <= lo:  # one word longer than a slice
-            digest = hashlib.blake2b(data[base : ends[lo]].tobytes(), digest_size=8).digest()
-            out[lo] = np.frombuffer(digest, U64)[0]
             lo += 1
             continue
         part = data[base : int(ends[hi - 1])].astype(U64)
@@ -101,6 +100,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
         out[lo:hi] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64) * U64(M_WORD))
         lo = hi
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), U64)[0]
     return out
 
 
