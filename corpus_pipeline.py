@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words aren't taken. A null source is a source of its own.
     """
     names = docs.columns
-    mixed = Mix(docs).texts().toDF(*[f"c{k}" for k in range(len(names))], "copy")  # by position: any names will do
+    mixed = Mix(docs, carry=True).texts().toDF(*[f"c{k}" for k in range(len(names))], "copy")  # by position: any names will do
     n_chars = F.length(f"c{names.index('text')}").cast(docs.schema["n_chars"].dataType)
     return mixed.select(*[(n_chars if name == "n_chars" else F.col(f"c{k}")).alias(name) for k, name in enumerate(names)])
 
