@@ -1,9 +1,9 @@
 """Parsers and predicates over dirty text: Column in, Column out, no Python UDFs.
 
-Blank means null or only spaces; under ``profile="pandas"`` any whitespace counts as
-space. Parsers give null for blanks and for text they can't read; with ``errors="raise"``
-the latter fails the query instead. Dates are dispatched by the text's shape, so a value
-is parsed by one format, or two where day and month can't be told apart.
+Blank means null or only spaces; under the profiles "pandas" and "polars" any whitespace
+counts as space. Parsers give null for blanks and for text they can't read; with ``errors="raise"``
+the latter fails the query instead. Dates are dispatched by the text's mask, brought into
+ISO order and cast once, so no format is tried in vain.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,30 +21,16 @@ TRUTHY = ("y", "yes", "t", "true", "on", "1")
 FALSY = ("n", "no", "f", "false", "off", "0")
 NUMERIC = r"^-?[0-9]+\.?[0-9]*$"
 WHOLE = r"^-?[0-9]+(\.0*)?$"
-_TIME = r"\d\d:\d\d:\d\d"
-_ZONE = r"(Z|[+-]\d\d:\d\d)"
-#: Shape, formats in order of trial, whether the text names its own zone. Fixed values.
-SHAPES: list[tuple[str, tuple[str, ...], bool]] = [
-    (rf"^\d{{4}}-\d\d-\d\dT{_TIME}\.\d{{1,3}}{_ZONE}$", ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX",), True),
-    (rf"^\d{{4}}-\d\d-\d\dT{_TIME}\.\d{{1,3}}$", ("yyyy-MM-dd'T'HH:mm:ss.SSS",), False),
-    (rf"^\d{{4}}-\d\d-\d\dT{_TIME}{_ZONE}$", ("yyyy-MM-dd'T'HH:mm:ssXXX",), True),
-    (rf"^\d{{4}}-\d\d-\d\dT{_TIME}$", ("yyyy-MM-dd'T'HH:mm:ss",), False),
-    (rf"^\d{{4}}-\d\d-\d\d {_TIME}\.\d{{1,3}}$", ("yyyy-MM-dd HH:mm:ss.SSS",), False),
-    (rf"^\d{{4}}-\d\d-\d\d {_TIME}$", ("yyyy-MM-dd HH:mm:ss",), False),
-    (r"^\d{4}-\d\d-\d\d$", ("yyyy-MM-dd",), False),
-    (rf"^\d\d/\d\d/\d{{4}} {_TIME}$", ("MM/dd/yyyy HH:mm:ss",), False),
-    (r"^\d\d/\d\d/\d{4}$", ("MM/dd/yyyy", "dd/MM/yyyy"), False),
-    (r"^\d\d-\d\d-\d{4}$", ("MM-dd-yyyy", "dd-MM-yyyy"), False),
-    (r"^\d{4}/\d\d/\d\d$", ("yyyy/MM/dd",), False),
-    (r"^\d{8}$", ("yyyyMMdd",), False),
-    (r"^[A-Za-z]{3} \d\d, \d{4}$", ("MMM dd, yyyy",), False),
-    (r"^\d\d [A-Za-z]{3} \d{4}$", ("dd MMM yyyy",), False),
-    (r"^[A-Za-z]{4,9} \d\d, \d{4}$", ("MMMM dd, yyyy",), False),
-]
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Date texts are told apart by their masks, in which digits are 9 and letters a. Fixed values.
+_DAY = "9999-99-99"
+_CLOCKS = ("99:99:99", "99:99:99.9", "99:99:99.99", "99:99:99.999")
+_ZONES = ("a", "+99:99", "-99:99")
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def trimmed(c: Column, profile: str = "spark") -> Column:
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "") if profile == "pandas" else F.trim(c.cast("string"))
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\f\r")) if profile in ("pandas", "polars") else F.trim(c.cast("string"))
 
 
 def is_blank(c: Column, profile: str = "spark") -> Column:
@@ -74,7 +61,7 @@ def parse_boolean(c: Column, errors: str = "null", profile: str = "spark") -> Co
 def parse_integer(c: Column, errors: str = "null", profile: str = "spark") -> Column:
     """Exact whole numbers that fit a bigint; ``100.00`` is whole, ``1.5`` is not."""
     n = _number(c, profile)
-    return _strict(F.when(n.rlike(WHOLE), F.regexp_extract(n, r"^-?[0-9]+", 0).try_cast("bigint")), c, "integer", errors, profile)
+    return _strict(F.when(n.rlike(WHOLE), F.substring_index(n, ".", 1).try_cast("bigint")), c, "integer", errors, profile)
 
 
 def parse_float(c: Column, errors: str = "null", profile: str = "spark") -> Column:
@@ -83,19 +70,50 @@ def parse_float(c: Column, errors: str = "null", profile: str = "spark") -> Colu
 
 def parse_date(c: Column, source_timezone: str = "UTC", errors: str = "null", profile: str = "spark", dayfirst: bool = False) -> Column:
     """UTC timestamp of a date text; only text without a zone is taken to be in `source_timezone`."""
-    t, out = trimmed(c, profile), None
-    for shape, formats, aware in SHAPES:
-        tries = [F.try_to_timestamp(t, F.lit(f)) for f in (formats[::-1] if dayfirst else formats)]
-        value = tries[0] if len(tries) == 1 else F.coalesce(*tries)
-        value = value if aware or source_timezone == "UTC" else F.to_utc_timestamp(value, source_timezone)
-        out = F.when(t.rlike(shape), value) if out is None else out.when(t.rlike(shape), value)
-    return _strict(out, c, "date", errors, profile)
+    t = trimmed(c, profile)
+    mask = F.translate(t, "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS))
+    aware = mask.isin(*[f"{_DAY}a{k}{z}" for k in _CLOCKS for z in _ZONES])
+    value = _iso(t, mask, aware, dayfirst).try_cast("timestamp")
+    if source_timezone != "UTC":
+        value = F.when(aware, value).otherwise(F.to_utc_timestamp(value, source_timezone))
+    return _strict(value, c, "date", errors, profile)
+
+
+def _iso(t: Column, mask: Column, aware: Column, dayfirst: bool) -> Column:
+    """The date text in ISO order, by its mask; null for other masks.
+
+    Where day and month can't be told apart the month comes first, or the day with
+    `dayfirst`, unless the number in the month's place is over 12.
+    """
+    part = lambda at, n: F.substring(t, at, n)
+    date = lambda year, month, day: F.concat(year, F.lit("-"), month, F.lit("-"), day)
+    number = lambda at: F.lpad(at.cast("string"), 2, "0")
+    first, second = part(1, 2), part(4, 2)
+    as_first, as_second = date(part(7, 4), first, second), date(part(7, 4), second, first)
+    either = F.when(second <= "12", as_second).otherwise(as_first) if dayfirst else F.when(first <= "12", as_first).otherwise(as_second)
+
+    def short(at: int) -> Column:
+        place = F.position(F.lower(part(at, 3)), F.lit("".join(m[:3] for m in _MONTHS)))
+        return F.when(place % 3 == 1, number(((place + 2) / 3).cast("int")))
+
+    size = F.length(t)
+    long = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(F.substring(t, F.lit(1), size - 9)))
+    utc = ~mask.endswith("a") | t.endswith("Z")
+    return (
+        F.when(mask.isin(_DAY, *[f"{_DAY} {k}" for k in _CLOCKS]), t)
+        .when(mask.isin(*[f"{_DAY}a{k}" for k in _CLOCKS]) | (aware & utc), F.when(part(11, 1) == "T", t))
+        .when(mask.isin("99/99/9999", "99-99-9999"), either)
+        .when(mask == "99/99/9999 99:99:99", F.concat(as_first, F.lit(" "), part(12, 8)))
+        .when(mask == "9999/99/99", F.translate(t, "/", "-"))
+        .when(mask == "99999999", date(part(1, 4), part(5, 2), part(7, 2)))
+        .when(mask == "aaa 99, 9999", date(part(9, 4), short(1), part(5, 2)))
+        .when(mask == "99 aaa 9999", date(part(8, 4), short(4), first))
+        .when(mask.isin(*["a" * n + " 99, 9999" for n in range(4, 10)]) & (long > 0), date(F.substring(t, size - 3, F.lit(4)), number(long), F.substring(t, size - 7, F.lit(2))))
+    )
 
 
 def parse_free_date(c: Column) -> Column:
     """Opt-in: any date text that dateutil reads, missing parts from 2000-01-01; Arrow batches in Python."""
-    import pandas as pd
-
     @F.pandas_udf(T.TimestampType())
     def read(s: pd.Series) -> pd.Series:
         from datetime import datetime
@@ -113,23 +131,43 @@ def parse_free_date(c: Column) -> Column:
     return read(c.cast("string"))
 
 
-def is_boolean(c: Column, profile: str = "spark") -> Column:
+def looks_boolean(text: Column, number: Column) -> Column:
+    """Whether trimmed text that isn't blank reads as a type; `number` is the text without ``$``, ``%`` and ``,``."""
+    return F.lower(text).isin(*TRUTHY, *FALSY)
+
+
+def looks_float(text: Column, number: Column) -> Column:
+    return number.rlike(NUMERIC)
+
+
+def looks_integer(text: Column, number: Column) -> Column:
+    short = (F.length(number) < 19) & ~number.contains(".")  # most numbers: fits a bigint whatever its digits
+    return number.rlike(NUMERIC) & F.when(short, True).otherwise(number.rlike(WHOLE) & F.substring_index(number, ".", 1).try_cast("bigint").isNotNull())
+
+
+def looks_date(text: Column, number: Column) -> Column:
+    return parse_date(text).isNotNull()
+
+
+def _check(looks: Callable[[Column, Column], Column], c: Column, profile: str) -> Column:
     """Checks are false for null and true for blank text, which fits every type."""
-    return F.when(c.isNull(), False).when(is_blank(c, profile), True).otherwise(F.lower(trimmed(c, profile)).isin(*TRUTHY, *FALSY))
+    return F.when(c.isNull(), False).when(is_blank(c, profile), True).otherwise(F.coalesce(looks(trimmed(c, profile), _number(c, profile)), F.lit(False)))
+
+
+def is_boolean(c: Column, profile: str = "spark") -> Column:
+    return _check(looks_boolean, c, profile)
 
 
 def is_integer(c: Column, profile: str = "spark") -> Column:
-    n = _number(c, profile)
-    fits = n.rlike(WHOLE) & F.regexp_extract(n, r"^-?[0-9]+", 0).try_cast("bigint").isNotNull()
-    return F.when(c.isNull(), False).when(is_blank(c, profile), True).otherwise(fits)
+    return _check(looks_integer, c, profile)
 
 
 def is_float(c: Column, profile: str = "spark") -> Column:
-    return F.when(c.isNull(), False).when(is_blank(c, profile), True).otherwise(_number(c, profile).rlike(NUMERIC))
+    return _check(looks_float, c, profile)
 
 
 def is_date(c: Column, profile: str = "spark") -> Column:
-    return F.when(c.isNull(), False).when(is_blank(c, profile), True).otherwise(parse_date(c, profile=profile).isNotNull())
+    return _check(looks_date, c, profile)
 
 
 def sha1_of(c: Column) -> Column:
@@ -139,10 +177,10 @@ def sha1_of(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class TypeRule:
-    """One inferable type: its check, its parser and the Spark type it gives."""
+    """One inferable type: its check of prepared text (see `looks_boolean`), its parser and the Spark type it gives."""
 
     name: str
-    check: Callable[[Column], Column]
+    looks: Callable[[Column, Column], Column]
     parse: Callable[[Column], Column]
     spark_type: str
 
@@ -150,10 +188,10 @@ class TypeRule:
 def type_rules(source_timezone: str = "UTC", profile: str = "spark", dayfirst: bool = False) -> list[TypeRule]:
     """The types in order of preference."""
     return [
-        TypeRule("boolean", lambda c: is_boolean(c, profile), lambda c: parse_boolean(c, profile=profile), "boolean"),
-        TypeRule("integer", lambda c: is_integer(c, profile), lambda c: parse_integer(c, profile=profile), "bigint"),
-        TypeRule("float", lambda c: is_float(c, profile), lambda c: parse_float(c, profile=profile), "double"),
-        TypeRule("datetime", lambda c: is_date(c, profile), lambda c: parse_date(c, source_timezone, profile=profile, dayfirst=dayfirst), "timestamp"),
+        TypeRule("boolean", looks_boolean, lambda c: parse_boolean(c, profile=profile), "boolean"),
+        TypeRule("integer", looks_integer, lambda c: parse_integer(c, profile=profile), "bigint"),
+        TypeRule("float", looks_float, lambda c: parse_float(c, profile=profile), "double"),
+        TypeRule("datetime", looks_date, lambda c: parse_date(c, source_timezone, profile=profile, dayfirst=dayfirst), "timestamp"),
     ]
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.parse import parse_boolean, parse_date, parse_float, parse_integer, type_rules
-from .infer import Sampling, _c, broadened, infer_types, sampled, string_columns
+from ..functions.parse import TypeRule, parse_boolean, parse_date, parse_float, parse_integer, type_rules
+from .infer import Sampling, _c, broadened, first_fit, infer_types, most_matches, sampled, spread, string_columns, type_counts
 
 #: Typed columns that `clean_all_types` widens; all others keep their type.
 WIDER = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "float": "double"}
@@ -47,20 +47,28 @@ def clean_all_types(df: DataFrame, source_timezone: str = "UTC", sampling: Sampl
     """Text columns as the type that all their values fit; narrow numbers widened; others unchanged.
 
     One job, or two if dates must be tried; with sampling one more that checks all rows and
-    broadens types that don't hold. Nested columns are left alone.
+    broadens types that don't hold. Nested columns are left alone. Profiles: "spark" trims
+    spaces; "pandas" trims all white space; "polars" does so too, takes the type that most
+    values fit (see `most_matches`), and narrows whole numbers instead of widening them (one
+    more job).
     """
     rules = type_rules(source_timezone, profile, dayfirst)
     part = sampled(df, sampling) if sampling else None
-    types = infer_types(df if part is None else part, rules, string_columns(df))
+    types = infer_types(df if part is None else part, rules, string_columns(df), profile)
     if part is not None:
-        types = broadened(df, types, rules)
+        types = broadened(df, types, rules, profile)
+    return _typed(df, types, rules, profile)
+
+
+def _typed(df: DataFrame, types: dict[str, str], rules: list[TypeRule], profile: str) -> DataFrame:
     by, out = {r.name: r for r in rules}, []
     for c, t in df.dtypes:
         if types.get(c, "string") != "string":
             out.append(by[types[c]].parse(_c(c)).alias(c))
         else:
-            out.append(_c(c).cast(WIDER[t]).alias(c) if t in WIDER else _c(c))
-    return df.select(*out) if out else df
+            out.append(_c(c).cast(WIDER[t]).alias(c) if t in WIDER and profile != "polars" else _c(c))
+    done = (spread(df) if types else df).select(*out) if out else df
+    return optimize_dtypes(done) if profile == "polars" else done
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -76,8 +84,21 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def clean_df(df: DataFrame, source_timezone: str = "UTC", sampling: Sampling | None = None, profile: str = "spark") -> DataFrame:
-    """Empty rows, then empty columns dropped, then `clean_all_types`."""
-    return clean_all_types(drop_empty_columns(drop_empty_rows(df)), source_timezone, sampling, profile)
+    """Empty rows, then empty columns dropped, then `clean_all_types`; the profile "polars" keeps empty rows.
+
+    Without sampling the counts that types are inferred from also tell which text columns are
+    empty, so only other columns cost a job of their own.
+    """
+    rows = df if profile == "polars" else drop_empty_rows(df)
+    if sampling is not None and sampling.enabled:
+        return clean_all_types(drop_empty_columns(rows), source_timezone, sampling, profile)
+    rules, texts = type_rules(source_timezone, profile), string_columns(rows)
+    counts = type_counts(rows, rules, texts, profile)
+    other = [c for c in rows.columns if c not in texts]
+    full = set(drop_empty_columns(rows.select(*[_c(c) for c in other])).columns if other else []) | {c for c in texts if counts[c]["non_null"]}
+    pick = most_matches if profile == "polars" else first_fit
+    types = {c: pick(counts[c], rules) for c in texts if c in full}
+    return _typed(rows.select(*[_c(c) for c in rows.columns if c in full]), types, rules, profile)
 
 
 def hash_column(df: DataFrame, columns: list[str], target: str, sep: str = "", null_as: str | None = None) -> DataFrame:
