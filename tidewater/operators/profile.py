@@ -1,7 +1,8 @@
 """Profiling: uniqueness, emptiness, categories and per-column metadata.
 
 Distinct counts are estimated in one aggregation first; only columns or pairs that the
-estimate leaves possible are counted exactly, one narrow shuffle each.
+estimate leaves possible are counted exactly, one narrow shuffle each. An estimate rules a
+unique column out only if it is more than ten standard deviations off.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 from ..functions.parse import parse_float, parse_integer
 from .infer import _c, infer_types, string_columns
 
-#: Estimates below this share of the needed count rule a candidate out; the estimator's deviation is 5 %.
-SLACK = 0.75
+#: Deviation of the estimates, and the share of the needed count below which one rules a candidate out: more than ten deviations off.
+DEVIATION, SLACK = 0.02, 0.75
 
 
 def _exactly(df: DataFrame, key: Column) -> int:
@@ -28,7 +29,7 @@ def _exactly(df: DataFrame, key: Column) -> int:
 def _unique(df: DataFrame, keys: dict, rows: int) -> list:
     if not keys or not rows:
         return list(keys)
-    row = df.agg(*[F.approx_count_distinct(F.xxhash64(k)).alias(f"d{i}") for i, k in enumerate(keys.values())]).first()
+    row = df.agg(*[F.approx_count_distinct(F.xxhash64(k), DEVIATION).alias(f"d{i}") for i, k in enumerate(keys.values())]).first()
     return [name for i, (name, k) in enumerate(keys.items()) if row[f"d{i}"] >= SLACK * rows and _exactly(df, k) == rows]
 
 

@@ -22,12 +22,22 @@ def merge(target: DataFrame, source: DataFrame, id_column: str, source_columns:
     A matched row takes the source's values if some column differs or is null only in the
     target; a null in the source alone changes nothing unless `null_safe`. Unmatched source
     rows are added; unmatched target rows go if `delete_unmatched`. Null ids match nothing.
+    A target row that several source rows match fails the query, for nothing says which of
+    them holds; source rows that share an id the target lacks are all added. Columns outside
+    `target_columns` keep their values, and are null in added rows. `source_id` names the
+    source's id, by default the column that goes into the target's id.
     """
     target_columns = target_columns or target.columns
-    source = _aligned(source, source_columns or target_columns, target_columns)
-    a, b = target.select(F.struct(*[_c(c) for c in target_columns]).alias("a"), _c(id_column).alias("ka")), source.select(F.struct(*[_c(c) for c in target_columns]).alias("b"), _c(id_column).alias("kb"))
-    both = a.join(b, F.col("ka") == F.col("kb"), "full_outer")
-    rest = [c for c in target_columns if c != id_column]
+    source_columns = source_columns or target_columns
+    if source_id is None and id_column not in target_columns:
+        raise ValueError("source_id must be given where the id isn't among the target columns")
+    source_id = source_id or source_columns[target_columns.index(id_column)]
+    if len(source_columns) != len(target_columns):
+        raise ValueError("source and target columns differ in number")
+    b = source.select(F.struct(*[_c(s).alias(t) for s, t in zip(source_columns, target_columns, strict=True)]).alias("b"), _c(source_id).alias("kb"))
+    several = b.where("kb IS NOT NULL").groupBy(F.col("kb").alias("kc")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    a = target.select(F.struct(*[_c(c) for c in target.columns]).alias("a"), _c(id_column).alias("ka"))
+    both = a.join(several, F.col("ka") == F.col("kc"), "left").join(b, F.col("ka") == F.col("kb"), "full_outer")
 
     def changed(c: str) -> Column:
         x, y = F.col("a")[c], F.col("b")[c]
@@ -36,33 +46,39 @@ def merge(target: DataFrame, source: DataFrame, id_column: str, source_columns:
         return F.coalesce(x != y, F.lit(False)) | (x.isNull() & y.isNotNull())
 
     update = F.lit(False)
-    for c in rest:
-        update = update | changed(c)
-    row = F.when(F.col("a").isNull() | (F.col("b").isNotNull() & update), F.col("b")).otherwise(F.col("a"))
+    for c in target_columns:
+        if c != id_column:
+            update = update | changed(c)
+    takes = F.col("a").isNull() | (F.col("b").isNotNull() & update)
+    row = F.struct(*[(F.when(takes, F.col("b")[c]).otherwise(F.col("a")[c]) if c in target_columns else F.col("a")[c]).alias(c) for c in target.columns])
+    clash = F.col("c").isNotNull() & F.col("b").isNotNull()
+    row = F.when(clash, F.raise_error(F.concat(F.lit("merge: several source rows match the id "), F.col("ka").cast("string")))).otherwise(row)
     if delete_unmatched:
         both = both.where(F.col("b").isNotNull())
     return both.select(row.alias("r")).select("r.*")
 
 
 def upsert(target: DataFrame, source: DataFrame, id_column: str, source_columns: list[str] | None = None, target_columns: list[str] | None = None) -> DataFrame:
-    """The target after an upsert: source rows that it has already are left out (nulls equal), rows with an id among the rest are replaced."""
+    """The target after an upsert: source rows that it has already are left out (nulls equal), rows with an id among the rest are replaced.
+
+    Columns outside `target_columns` are null in the rows that come from the source.
+    """
     target_columns = target_columns or target.columns
     source = _aligned(source, source_columns or target_columns, target_columns)
-    have = target.select(*[_c(c) for c in target_columns])
-    known = have.toDF(*[f"k{i}" for i in range(len(target_columns))]).distinct()
+    known = target.select(*[_c(c) for c in target_columns]).toDF(*[f"k{i}" for i in range(len(target_columns))]).distinct()
     same = F.lit(True)
     for i, c in enumerate(target_columns):
         same = same & _c(c).eqNullSafe(F.col(f"k{i}"))
     new = source.join(known, same, "left_anti")
     ids = new.select(_c(id_column).alias("__id")).distinct()
-    return have.join(ids, _c(id_column) == F.col("__id"), "left_anti").unionByName(new)
+    return target.join(ids, _c(id_column) == F.col("__id"), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def append(target: DataFrame, source: DataFrame, source_columns: list[str] | None = None, target_columns: list[str] | None = None) -> DataFrame:
-    """The target with the distinct source rows that it lacks, columns by position, nulls equal."""
+    """The target with the distinct source rows that it lacks, columns by position, nulls equal; its other columns are null in them."""
     target_columns = target_columns or target.columns
     have = target.select(*[_c(c) for c in target_columns])
-    return have.union(_aligned(source, source_columns or target_columns, target_columns).subtract(have))
+    return target.unionByName(_aligned(source, source_columns or target_columns, target_columns).subtract(have), allowMissingColumns=True)
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .infer import _c
 from .profile import column_metadata
 
 #: Database type families; fixed values.
@@ -73,7 +74,7 @@ def violations(df: DataFrame, info: DataFrame) -> DataFrame:
     """``column_name, kind, df_type, db_type, required, allowed``: extra, type, precision or length; one row per problem."""
     target = {r["COLUMN_NAME"]: r for r in info.collect()}
     rows = [(c, "extra", None, None, None, None) for c in extra_columns(df, info)]
-    for m in column_metadata(df.select(*[c for c in df.columns if c in target])):
+    for m in column_metadata(df.select(*[_c(c) for c in df.columns if c in target])):
         t, kind = target[m["column_name"]], m["data_type"]
         if m["is_empty"]:
             continue
@@ -86,10 +87,16 @@ def violations(df: DataFrame, info: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, kind string, df_type string, db_type string, required int, allowed int")
 
 
+def fits(df: DataFrame, info: DataFrame) -> DataFrame:
+    """``column_name, fits`` of each column of the table: whether `violations` has nothing against it."""
+    bad = {r["column_name"] for r in violations(df, info).collect()}
+    return df.sparkSession.createDataFrame([(c, c not in bad) for c in df.columns], "column_name string, fits boolean")
+
+
 def validate(df: DataFrame, info: DataFrame) -> None:
     """Raises `ExtraColumnsError`, else `ColumnDataError` naming every problem, else nothing."""
     if extra := extra_columns(df, info):
-        raise ExtraColumnsError(df.select(*[f"`{c}`" for c in extra]))
+        raise ExtraColumnsError(df.select(*[_c(c) for c in extra]))
     said = []
     for v in violations(df, info).collect():
         if v["kind"] == "type":

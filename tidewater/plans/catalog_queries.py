@@ -156,7 +156,7 @@ def q_unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = profile.unique_column_pairs(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    pairs = profile.unique_column_pairs(_read(spark, sf_dir, "conversations"))
     return spark.createDataFrame(pairs, "first_column string, second_column string")
 
 
@@ -169,8 +169,7 @@ def q_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    return profile.metadata_frame(p, primary_key="p_partkey").select("column_name", "data_type", "is_id", "is_empty", "max_str_size", "float_precision", "biggest_num", "smallest_num")
+    return profile.metadata_frame(_read(spark, sf_dir, "part"), primary_key="p_partkey").select("column_name", "data_type", "is_id", "is_empty", "max_str_size", "float_precision", "biggest_num", "smallest_num")
 
 
 def q_conversion_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +243,15 @@ def q_catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _one(spark, catalog.list_tables(spark, "default"), "table_name")
+    """Lists a schema with two tables and a view, made for this query and dropped again."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS tidewater_listing")
+    try:
+        for table in ("nation", "region"):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS tidewater_listing.{table} ({', '.join(f'{c} {t}' for c, t in _read(spark, sf_dir, table).dtypes)}) USING parquet")
+        spark.sql("CREATE OR REPLACE VIEW tidewater_listing.both AS SELECT * FROM tidewater_listing.nation")
+        return _one(spark, catalog.list_tables(spark, "tidewater_listing"), "table_name")
+    finally:
+        spark.sql("DROP DATABASE tidewater_listing CASCADE")
 
 
 def q_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +270,13 @@ def q_validate_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one(spark, validate.extra_columns(_read(spark, sf_dir, "customer"), _info(spark)))
 
 
+def q_validate_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = spark.createDataFrame([("c_custkey", "int", None, 10), ("c_name", "varchar", 25, None), ("c_nationkey", "int", None, 10), ("c_acctbal", "decimal", None, 12), ("c_mktsegment", "varchar", 10, None)], validate.INFO)
+    customer = _read(spark, sf_dir, "customer")
+    validate.validate(customer, info)  # raises nothing
+    return validate.fits(customer, info)
+
+
 def q_null_or_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select(F.col("`Order ID`").alias("id"), parse.is_blank(F.col("Discount")).alias("blank"))
 
@@ -306,6 +320,26 @@ def _counts_sql() -> str:
     return f"WITH {_CTE} " + " UNION ALL ".join(parts)
 
 
+def _types_sql(tries: dict[str, tuple[str, ...]]) -> str:
+    """The first of the types that every value of a column fits, counted over all rows."""
+    parts = []
+    for c, types in tries.items():
+        q = f'"{c}"'
+        fit = {"boolean": f"({_BOOL.format(c=q)}) IS NOT NULL", "integer": f"({_INT.format(c=q)}) IS NOT NULL", "float": f"regexp_matches({_NUM.format(c=f'trim({q})')}, '^-?[0-9]+\\.?[0-9]*$')", "datetime": f"{_DATE.format(c=q)} IS NOT NULL"}
+        cases = " ".join(f"WHEN count(*) FILTER (trim({q}) <> '') > 0 AND count(*) FILTER ({q} IS NOT NULL AND trim({q}) <> '' AND NOT coalesce({fit[t]}, false)) = 0 THEN '{t}'" for t in types)
+        parts.append(f"SELECT '{c}' AS column_name, CASE {cases} ELSE 'string' END AS data_type FROM d")
+    return f"WITH {_CTE} " + " UNION ALL ".join(parts)
+
+
+def _pairs_sql(table: str, columns: tuple[str, ...]) -> str:
+    """Pairs of columns with as many distinct values as rows, of columns that don't have as many alone."""
+    alone = ", ".join(f"count(DISTINCT struct_pack(v := {c})) = count(*) AS u_{c}" for c in columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    each = ", ".join(f"count(DISTINCT struct_pack(v := {a}, w := {b})) = count(*) AS p_{a}_{b}" for a, b in pairs)
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS first_column, '{b}' AS second_column FROM s WHERE p_{a}_{b} AND NOT u_{a} AND NOT u_{b}" for a, b in pairs)
+    return f"WITH s AS (SELECT {alone}, {each} FROM {table}) {rows}"
+
+
 QUERIES = {
     "rename_snake": q_rename_snake,
     "rename_pascal": q_rename_pascal,
@@ -354,6 +388,7 @@ QUERIES = {
     "catalog_columns": q_catalog_columns,
     "catalog_tables": q_catalog_tables,
     "distinct_values": q_distinct_values,
+    "validate_ok": q_validate_ok,
     "validate_types": q_validate_types,
     "validate_extra_columns": q_validate_extra,
 }
@@ -369,8 +404,8 @@ SQL = {
     "parse_date_tz": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 104399 SECOND ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 3 HOUR END AS value FROM orders",
     "null_or_blank": f'WITH {_CTE} SELECT "Order ID" AS id, "Discount" IS NULL OR trim("Discount") = \'\' AS blank FROM d',
     "infer_counts": _counts_sql(),
-    "infer_types": "SELECT * FROM (VALUES ('Order ID', 'integer'), ('Quantity?', 'integer'), ('Unit$Price', 'float'), ('Discount', 'integer'), ('IsReturned', 'boolean'), ('shipMode', 'string'), ('Ship Date', 'datetime'), ('Empty', 'string')) AS v(column_name, data_type)",
-    "fallback_types": "SELECT * FROM (VALUES ('Order ID', 'integer'), ('Unit$Price', 'float'), ('shipMode', 'string'), ('Ship Date', 'datetime'), ('IsReturned', 'boolean')) AS v(column_name, data_type)",
+    "infer_types": _types_sql({c: ("boolean", "integer", "float", "datetime") for c in [*_DIRTY, *_SHIP, "Empty"]}),
+    "fallback_types": _types_sql({"Order ID": ("boolean", "integer", "float"), "Unit$Price": ("integer", "float"), "shipMode": ("integer", "float"), "Ship Date": ("datetime",), "IsReturned": ("boolean", "integer", "float")}),
     "conversion_failures": f"WITH {_CTE} SELECT 'shipMode' AS column_name, count(*) FILTER (\"shipMode\" = 'N/A') AS failures FROM d UNION ALL SELECT 'IsReturned', 0 UNION ALL SELECT 'Discount', 0 UNION ALL SELECT 'Unit$Price', count(*) FILTER (\"Unit$Price\" NOT LIKE '%.00') FROM d",
     "clean_numbers": f'WITH {_CTE} SELECT {_INT.format(c=chr(34) + "Order ID" + chr(34))} AS id, {_INT.format(c=chr(34) + "Quantity?" + chr(34))} AS quantity, {_FLT.format(c=chr(34) + "Unit$Price" + chr(34))} AS price, {_INT.format(c=chr(34) + "Discount" + chr(34))} AS "Discount" FROM d',
     "clean_dates": f'WITH {_CTE} SELECT "Order ID" AS id, {_DATE.format(c=chr(34) + "Ship Date" + chr(34))} AS ship FROM d',
@@ -383,10 +418,10 @@ SQL = {
     "hash_column": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 7 <> 0 THEN sha1(CAST(c_custkey AS VARCHAR) || c_name) END AS digest FROM customer",
     "coalesce_columns": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS label FROM customer",
     "unique_columns": "SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS d, count(*) AS n FROM supplier" for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")) + ") WHERE d = n",
-    "unique_column_pairs": "SELECT first_column, second_column FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS first_column, '{b}' AS second_column, count(DISTINCT ({a}, {b})) AS d, count(*) AS n FROM lineitem" for a, b in (("l_orderkey", "l_linenumber"), ("l_orderkey", "l_returnflag"), ("l_linenumber", "l_returnflag"))) + ") WHERE d = n",
+    "unique_column_pairs": _pairs_sql("conversations", ("conv_id", "turn", "role", "text")),
     "empty_columns": f"WITH {_CTE} SELECT 'Empty' AS column_name FROM d GROUP BY ALL HAVING count(\"Empty\") = 0",
     "categorical_columns": "SELECT column_name FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS d, count({c}) AS n FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) + ") WHERE n > 0 AND d <= 0.1 * n",
-    "column_metadata": "SELECT 'p_partkey' AS column_name, 'integer' AS data_type, true AS is_id, false AS is_empty, NULL::INT AS max_str_size, (floor(log10(max(p_partkey))) + 1)::INT AS float_precision, max(p_partkey)::DOUBLE AS biggest_num, min(p_partkey)::DOUBLE AS smallest_num FROM part UNION ALL SELECT 'p_name', 'string', false, false, max(length(p_name))::INT, NULL, NULL, NULL FROM part UNION ALL SELECT 'p_size', 'integer', false, false, NULL, (floor(log10(max(p_size))) + 1)::INT, max(p_size)::DOUBLE, min(p_size)::DOUBLE FROM part UNION ALL SELECT 'p_retailprice', 'float', false, false, NULL, (floor(log10(max(p_retailprice))) + 3)::INT, NULL, NULL FROM part",
+    "column_metadata": "SELECT 'p_partkey' AS column_name, 'integer' AS data_type, true AS is_id, false AS is_empty, NULL::INT AS max_str_size, (floor(log10(max(p_partkey))) + 1)::INT AS float_precision, max(p_partkey)::DOUBLE AS biggest_num, min(p_partkey)::DOUBLE AS smallest_num FROM part UNION ALL SELECT 'p_name', 'string', false, false, max(length(p_name))::INT, NULL, NULL, NULL FROM part UNION ALL SELECT 'p_brand', 'string', false, false, max(length(p_brand))::INT, NULL, NULL, NULL FROM part UNION ALL SELECT 'p_type', 'string', false, false, max(length(p_type))::INT, NULL, NULL, NULL FROM part UNION ALL SELECT 'p_size', 'integer', false, false, NULL, (floor(log10(max(p_size))) + 1)::INT, max(p_size)::DOUBLE, min(p_size)::DOUBLE FROM part UNION ALL SELECT 'p_retailprice', 'float', false, false, NULL, (floor(log10(max(p_retailprice))) + 3)::INT, NULL, NULL FROM part",
     "conversion_diagnostics": f"WITH {_CTE} SELECT 'shipMode' AS column_name, count(*) AS total_count, 0::BIGINT AS null_count, count(*) FILTER (\"shipMode\" <> 'N/A') AS converted_count, count(*) FILTER (\"shipMode\" = 'N/A') AS failed_count, round(100.0 * count(*) FILTER (\"shipMode\" <> 'N/A') / count(*), 2)::DOUBLE AS success_rate FROM d UNION ALL SELECT 'Discount', count(*), 0, count(*) FILTER (trim(\"Discount\") <> ''), 0, 100.0 FROM d",
     "failed_samples": "SELECT DISTINCT 'N/A' AS value FROM lineitem WHERE l_orderkey % 10 = 0",
     "merge_full": _merged_sql(True),
@@ -397,11 +432,13 @@ SQL = {
     "load_union_dedup": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
     "column_overlap": _overlap_sql(["customer", "orders"]) + " SELECT * FROM r",
     "schema_overlap": _overlap_sql(list(_CELLS)) + " SELECT * FROM r",
-    "same_name_columns": "SELECT 'documents' AS source_table, 'labels' AS target_table, 'doc_id' AS column_name",
+    "same_name_columns": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, {k} AS o, column_name FROM (DESCRIBE {t})" for k, t in enumerate(("documents", "embeddings", "labels"))) + ") SELECT a.t AS source_table, b.t AS target_table, column_name FROM c a JOIN c b USING (column_name) WHERE a.o < b.o",
     "unique_to_table": _overlap_sql(list(_CELLS)) + ", e AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c.split(':')[0]}')" for t, cs in _CELLS.items() for c in cs) + ") AS v(table_name, column_name)) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE (source_table = table_name AND source_column = column_name) OR (target_table = table_name AND target_column = column_name))",
     "ddl_types": "SELECT 'c_custkey' AS column_name, CASE WHEN max(c_custkey) < 256 THEN 'tinyint' WHEN max(c_custkey) < 32768 THEN 'smallint' ELSE 'int' END AS sql_type FROM customer UNION ALL SELECT 'c_name', 'nvarchar(' || (max(length(c_name)) + 20) || ')' FROM customer UNION ALL SELECT 'c_nationkey', 'tinyint' UNION ALL SELECT 'c_acctbal', 'decimal(10, 2)' UNION ALL SELECT 'c_mktsegment', 'nvarchar(' || (max(length(c_mktsegment)) + 20) || ')' FROM customer",
-    "catalog_columns": "SELECT * FROM (VALUES ('s_suppkey', 'bigint'), ('s_name', 'string'), ('s_nationkey', 'int'), ('s_acctbal', 'double')) AS v(column_name, data_type)",
+    "catalog_columns": "SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END AS data_type FROM (DESCRIBE supplier)",
+    "catalog_tables": "SELECT table_name FROM (VALUES ('nation'), ('region')) AS v(table_name)",
     "distinct_values": "SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL",
     "validate_types": "SELECT 'c_mktsegment' AS column_name, 'extra' AS kind, NULL::VARCHAR AS df_type, NULL::VARCHAR AS db_type, NULL::INT AS required, NULL::INT AS allowed UNION ALL SELECT 'c_name', 'length', 'string', 'varchar', max(length(c_name))::INT, 5 FROM customer UNION ALL SELECT 'c_acctbal', 'type', 'float', 'int', NULL, NULL UNION ALL SELECT 'c_nationkey', 'precision', 'integer', 'int', 2, 1",
-    "validate_extra_columns": "SELECT 'c_mktsegment' AS column_name",
+    "validate_extra_columns": "SELECT column_name FROM (DESCRIBE customer) WHERE column_name NOT IN ('c_custkey', 'c_name', 'c_acctbal', 'c_nationkey')",
+    "validate_ok": "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name, unnest([max(abs(c_custkey)) < 1e10, max(length(c_name)) <= 25, max(abs(c_nationkey)) < 1e10, max(abs(c_acctbal)) < 1e10, max(length(c_mktsegment)) <= 10]) AS fits FROM customer",
 }

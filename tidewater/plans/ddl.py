@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,6 +30,11 @@ class SqlDialect:
         return f"{self.opening}{identifier.replace(self.closing, self.closing * 2)}{self.closing}"
 
 
+    def named(self, identifier: str) -> str:
+        """The identifier, escaped where it isn't a plain word."""
+        return identifier if re.fullmatch(r"\w+", identifier) else self.escape(identifier)
+
+
 #: Fixed values.
 MSSQL = SqlDialect("mssql", "[", "]", "datetime2", "bit", None, "id int identity constraint pk_{t}_id primary key", " constraint pk_{t}_{c} primary key", " constraint ak_{t}_{c} unique", "?", "--")
 MARIADB = SqlDialect("mariadb", "`", "`", "datetime", "bit", 21844, "id int auto_increment, constraint pk_{t}_id primary key (id)", ", constraint pk_{t}_{c} primary key ({c})", ", constraint ak_{t}_{c} unique ({c})", "%s", "#")
@@ -79,13 +85,14 @@ def create_table(df: DataFrame, schema: str, table: str, dialect: SqlDialect, pr
         parts.append(f"{dialect.escape(m['column_name'])} {kind}{keys.format(t=table, c=m['column_name'])}")
     if not parts:
         return ""
-    head = f"create table {schema}.{table}\n(\n\t" if not (history and dialect.name == "mssql") else f"create table {schema}.{table}\n(\n"
+    place = f"{dialect.named(schema)}.{dialect.named(table)}"
+    head = f"create table {place}\n(\n\t" if not (history and dialect.name == "mssql") else f"create table {place}\n(\n"
     body = ",\n\t".join(parts)
     if not (history and dialect.name == "mssql"):
         return f"{head}{body}\n)" + (" using parquet;" if dialect.name == "spark" else ";")
     now = {"start": "sysutcdatetime", "end": "sysutcdataetime" if compat else "sysutcdatetime"}
     periods = "".join(f"\tsystem_record_{k} datetime2 generated always as row {k}\n\t\tconstraint df_{table}_system_record_{k}\n\t\tdefault {f}() not null,\n" for k, f in now.items())
-    return f"{head}{body},\n{periods}\t\tperiod for system_time(system_record_start, system_record_end)\n) with \n(\tsystem_versioning = on (history_table = {schema}.[{table}_history])\n);"
+    return f"{head}{body},\n{periods}\t\tperiod for system_time(system_record_start, system_record_end)\n) with \n(\tsystem_versioning = on (history_table = {dialect.named(schema)}.{dialect.escape(table + '_history')})\n);"
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.infer import _c
 
 
 def list_tables(spark: SparkSession, schema: str) -> list[str]:
@@ -18,5 +19,4 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values of a column."""
-    c = F.col(f"`{column}`")
-    return df.where(c.isNotNull()).select(c.alias(column)).distinct()
+    return df.where(_c(column).isNotNull()).select(_c(column).alias(column)).distinct()

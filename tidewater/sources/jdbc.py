@@ -8,11 +8,13 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.infer import string_columns
+from ..operators.infer import _c, string_columns
 from ..plans.ddl import SqlDialect
 
-#: Bound parameters of one batched statement; texts longer than this become unbounded types.
-PARAMETERS, LONG_TEXT = 100_000, 256
+#: Bound parameters of one batched statement.
+PARAMETERS = 100_000
+#: Texts longer than this become unbounded types; fixed values.
+LONG_TEXT, LONG_TEXT_BY_DIALECT = 256, {"mariadb": 255}
 
 
 @dataclass(frozen=True)
@@ -73,19 +75,23 @@ def text_lengths(df: DataFrame) -> dict[str, int]:
     cols = string_columns(df)
     if not cols:
         return {}
-    row = df.agg(*[F.max(F.length(F.col(f"`{c}`"))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.max(F.length(_c(c))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"m{i}"] or 0 for i, c in enumerate(cols)}
 
 
-def placeholders(df: DataFrame, dialect: SqlDialect, long_text: int = LONG_TEXT) -> list[str]:
+def _long(dialect: SqlDialect) -> int:
+    return LONG_TEXT_BY_DIALECT.get(dialect.name, LONG_TEXT)
+
+
+def placeholders(df: DataFrame, dialect: SqlDialect, long_text: int | None = None) -> list[str]:
     """Bind markers per column; long texts are cast to the dialect's unbounded type."""
     kind = "nvarchar(max)" if dialect.name == "mssql" else "varchar(21844)"
-    size = text_lengths(df)
+    size, long_text = text_lengths(df), long_text or _long(dialect)
     return [f"cast ( {dialect.placeholder} as {kind})" if size.get(c, 0) > long_text else dialect.placeholder for c in df.columns]
 
 
 def insert_sql(df: DataFrame, schema: str, table: str, dialect: SqlDialect) -> str:
-    return f"INSERT INTO {schema}.{table} ({column_list(df, dialect)}) VALUES ({', '.join(placeholders(df, dialect))})"
+    return f"INSERT INTO {dialect.named(schema)}.{dialect.named(table)} ({column_list(df, dialect)}) VALUES ({', '.join(placeholders(df, dialect))})"
 
 
 def union_rows(df: DataFrame) -> DataFrame:
@@ -100,15 +106,15 @@ def load(df: DataFrame, options: dict[str, str], table: str, dialect: SqlDialect
     and so one transaction, for tables small enough for that.
     """
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
-    rows = df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
+    rows = df.withColumns({c: F.when(~F.isnan(_c(c)), _c(c)) for c in floats}) if floats else df
     rows = union_rows(rows) if dedupe else rows
     rows = rows.coalesce(1) if atomic else rows
     writer = rows.write.format("jdbc").options(**options).option("dbtable", table)
     writer = writer.option("batchsize", batch_rows or max(1, PARAMETERS // max(1, len(df.columns))))
     if dialect is not None and (size := text_lengths(df)):
-        kind = lambda n: ("nvarchar(max)" if dialect.max_varchar is None else f"varchar({dialect.max_varchar})") if n > LONG_TEXT else f"varchar({max(n, 1)})"
+        kind = lambda n: ("nvarchar(max)" if dialect.max_varchar is None else f"varchar({dialect.max_varchar})") if n > _long(dialect) else f"varchar({max(n, 1)})"
         if "derby" not in options.get("url", ""):
-            writer = writer.option("createTableColumnTypes", ", ".join(f"`{c}` {kind(n)}" for c, n in size.items()))
+            writer = writer.option("createTableColumnTypes", ", ".join(f"`{c.replace('`', '``')}` {kind(n)}" for c, n in size.items()))
     if types := options.get("createTableColumnTypes"):
         writer = writer.option("createTableColumnTypes", types)
     writer.mode("append").save()

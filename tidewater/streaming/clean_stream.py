@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.parse import type_rules
-from ..operators.infer import infer_types
+from ..operators.infer import _c, infer_types
 
 
 def learn_types(static: DataFrame) -> dict[str, str]:
@@ -17,5 +16,4 @@ def learn_types(static: DataFrame) -> dict[str, str]:
 def apply_types(stream: DataFrame, types: dict[str, str], source_timezone: str = "UTC") -> DataFrame:
     """The stream (or table) with its text columns parsed; text that doesn't fit becomes null."""
     by = {r.name: r for r in type_rules(source_timezone)}
-    quoted = lambda c: F.col(f"`{c}`")
-    return stream.select(*[by[types[c]].parse(quoted(c)).alias(c) if types.get(c) in by else quoted(c) for c in stream.columns])
+    return stream.select(*[by[types[c]].parse(_c(c)).alias(c) if types.get(c) in by else _c(c) for c in stream.columns])
