@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import whole_rows
+from .shared import freeing, whole_rows
 from .textcore import LOWER, U64, buffers, mix, slices, word_bounds, word_hashes
 
 #: Bytes of benchmark text that one pass over the documents looks for; each word takes some 100 bytes in tables.
@@ -324,7 +324,7 @@ def _passed(docs: DataFrame, ids: list, texts: list[str], edits: float, recall:
         for batch in batches:
             yield from search(looked, batch)
 
-    return docs.mapInArrow(run, schema) if schema else whole_rows(docs, run)
+    return docs.mapInArrow(freeing(run), schema) if schema else whole_rows(docs, run)
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:

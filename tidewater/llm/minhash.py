@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import connected_components
-from .shared import saved, scratch
+from .shared import freeing, saved, scratch
 from .textcore import LOWER, M_BYTE, U64, buffers, mix, slices, window_hashes, word_bounds, word_hashes
 
 RING = 1 << 20
@@ -132,7 +132,7 @@ def _signed(df: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
                     ["doc_id", "tie", "n", "digest", "bands"],
                 )
 
-    return df.mapInArrow(run, "doc_id long, tie long, n long, digest binary, bands array<long>")
+    return df.mapInArrow(freeing(run), "doc_id long, tie long, n long, digest binary, bands array<long>")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                     ["digest", "n", "bits", "tokens"],
                 )
 
-    return df.mapInArrow(run, "digest binary, n long, bits binary, tokens array<long>")
+    return df.mapInArrow(freeing(run), "digest binary, n long, bits binary, tokens array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _joined(live: DataFrame, percent: int, block: tuple[int, int]) -> DataFrame:
                     home.append(rows)
 
     dealt = dealt.repartition(width, "token", "block").sortWithinPartitions("token", "block", "guest")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int, width: int, rows: int, block: tuple[int, int]) -> DataFrame:

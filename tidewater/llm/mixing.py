@@ -13,14 +13,13 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import saved
+from .shared import freeing, saved
 from .sharding import RUN_ROWS, numbered
 from .textcore import U64, buffers, mix, slices, word_bounds
 
@@ -153,41 +152,31 @@ class Mix:
         return min(slots, int(cap * per_pass))
 
     def sources(self) -> DataFrame:
-        return self.spark.createDataFrame(self.about, "source string, source_size long, target double, n_blocks long, key long")
+        return self.spark.createDataFrame([a[:3] for a in self.about], "source string, source_size long, target double")
 
-    def plan(self) -> DataFrame:
-        """``out_shard, source, slot0, k0, n``: the run of slots that a source fills in a shard, drawn where the shard's row lies."""
+    def slots(self) -> DataFrame:
+        """``out_shard, slot, source, pass, block``: the mixture's order, drawn and permuted where a shard's number lies."""
         quota, width, seed, names = self.quota, self.shard_slots, self.seed, [a[0] for a in self.about]
+        n_blocks, keys = np.array([a[3] for a in self.about], np.int64), np.array([a[4] for a in self.about], np.int64).view(U64)
         shards = -(-sum(quota) // width)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, rows = np.asarray(batch.column("id")), []
+                ids = np.asarray(batch.column("id"))
                 for run_ in np.split(ids, np.flatnonzero(np.diff(ids) != 1) + 1):
-                    if len(run_):
-                        for shard, own, before in draws(quota, width, seed, int(run_[0]), int(run_[-1]) + 1):
-                            at = shard * width + np.cumsum(own) - own
-                            rows += [(shard, names[j], int(at[j]), int(before[j]), int(own[j])) for j in np.flatnonzero(own)]
-                cols = zip(*rows, strict=True) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["out_shard", "source", "slot0", "k0", "n"])
+                    if not len(run_):
+                        continue
+                    for shard, own, before in draws(quota, width, seed, int(run_[0]), int(run_[-1]) + 1):
+                        j = np.repeat(np.arange(len(own)), own)
+                        at = np.arange(len(j))
+                        k = before[j] + at - (np.cumsum(own) - own)[j]
+                        turn, n = k // n_blocks[j], n_blocks[j]
+                        block = permute(k % n, n, mix(keys[j] + turn.view(U64)))
+                        cols = [pa.array(np.full(len(j), shard, np.int32)), pa.array(shard * width + at), pa.array(names, pa.string()).take(pa.array(j)), pa.array(turn.astype(np.int32)), pa.array(block)]
+                        yield pa.RecordBatch.from_arrays(cols, ["out_shard", "slot", "source", "pass", "block"])
 
         parts = min(max(1, shards), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return self.spark.range(0, shards, 1, parts).mapInArrow(run, "out_shard int, source string, slot0 long, k0 long, n long")
-
-    def slots(self) -> DataFrame:
-        """``out_shard, slot, source, pass, block``: the mixture's order."""
-        kinds = self._held(self.sources().select(F.col("source").alias("s"), "n_blocks", "key"))
-
-        @F.pandas_udf(T.LongType())
-        def number(k: pd.Series, n: pd.Series, key: pd.Series, turn: pd.Series) -> pd.Series:
-            keys = mix(key.to_numpy(np.int64).view(U64) + turn.to_numpy(np.int64).view(U64))
-            return pd.Series(permute(k.to_numpy(np.int64), n.to_numpy(np.int64), keys))
-
-        each = self.plan().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        each = each.join(kinds, F.col("source").eqNullSafe(F.col("s"))).withColumn("k", F.col("k0") + F.col("i"))
-        each = each.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks")).cast("int"))
-        block = number(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("key"), F.col("pass").cast("long"))
-        return each.select("out_shard", (F.col("slot0") + F.col("i")).alias("slot"), "source", "pass", block.alias("block"))
+        return self.spark.range(0, shards, 1, parts).mapInArrow(freeing(run), "out_shard int, slot long, source string, pass int, block long")
 
     def streams(self) -> DataFrame:
         """``rid, source, size, at``: each document's first word in its source's stream."""
@@ -220,7 +209,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """``doc_id, size, source, source_size, target, taken``, one row per input row."""
         got = self.chosen().groupBy("rid").agg(F.sum(F.col("hi") - F.col("lo")).alias("t"))
-        kinds = self._held(self.sources().select(F.col("source").alias("s"), "source_size", "target"))
+        kinds = self._held(self.sources().withColumnRenamed("source", "s"))
         each = self.docs.join(got, "rid", "left").join(kinds, F.col("source").eqNullSafe(F.col("s")))
         return each.select("doc_id", "size", "source", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
 
@@ -255,7 +244,7 @@ class Mix:
                     cols = [body if k == at else part.column(c).take(rows) for k, c in enumerate(columns)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array([k for m in made for k in range(len(m))], pa.int32())], kinds.names)
 
-        return both.mapInArrow(run, kinds).toDF(*self.names, "copy")
+        return both.mapInArrow(freeing(run), kinds).toDF(*self.names, "copy")
 
 
 def _copies(text: str, size: int, parts: list[tuple[int, int, int]]) -> list[str]:
@@ -290,7 +279,7 @@ def counted(df: DataFrame, carry: bool) -> DataFrame:
                 size[lo:hi] = np.diff(word_bounds(data[base : offsets[hi]], offsets[lo : hi + 1] - base)[2])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(size)], [*names, "size"])
 
-    return df.mapInArrow(run, T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], T.StructField("size", T.LongType())]))
+    return df.mapInArrow(freeing(run), T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], T.StructField("size", T.LongType())]))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import SAMPLE_PER_CLASS, dual_coordinate_descent, held_out, platt, sigmoid, training_rows
-from .shared import whole_rows
+from .shared import freeing, whole_rows
 from .textcore import buffers, slices
 
 BITS = 17
@@ -107,7 +107,7 @@ def scored(docs: DataFrame, model, make) -> DataFrame:
                 got = own.score(data[base : offsets[hi]], offsets[lo : hi + 1] - base, state)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(got, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(freeing(run), f"doc_id {kind}, score double")
 
 
 def kept(docs: DataFrame, model, make, text_col: str = "text", below: float = 0.5) -> DataFrame:

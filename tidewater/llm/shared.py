@@ -71,6 +71,18 @@ def release() -> None:
         trim(0)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a worker, which is used again, gives its freed memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def named(name: str) -> Column:
     """The top-level column of this very name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -80,7 +92,7 @@ def whole_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     """`run` over whole Arrow batches, whose rows it may only leave out. Columns stand by position, so any names will do."""
     plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     kinds = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema.fields)])
-    return plain.mapInArrow(run, kinds).toDF(*df.columns)
+    return plain.mapInArrow(freeing(run), kinds).toDF(*df.columns)
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
