@@ -203,7 +203,7 @@ class Mix:
 
     def chosen(self) -> DataFrame:
         """The pieces that the mixture takes, once per slot: pieces joined to slots by block number."""
-        slots = self.slots().withColumnRenamed("source", "s").withColumnRenamed("block", "b")
+        slots = self.slots().withColumnRenamed("source", "s").withColumnRenamed("block", "b").hint("merge")  # estimated by shards, not slots, it would be broadcast
         return self.pieces().join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
 
     def taken(self) -> DataFrame:
