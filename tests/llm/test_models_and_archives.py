@@ -1,3 +1,6 @@
+import base64
+import gzip
+import hashlib
 import random
 
 import duckdb
@@ -77,6 +80,27 @@ def test_warc_round_trip(spark, tmp_path):
         warc._together([(1, "warc-record-id: <a>\r\nwarc-type: response", b"x"), (3, "warc-record-id: <c>", b"y")], True)
 
 
+def test_warc_1_0(spark, tmp_path):
+    def record(kind, rid, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<{rid}>", **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(block)}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>WARC/1.1\r\n</p>").digest()).decode()
+    files = [
+        record("warcinfo", "i", b"software: x\r\n") + record("response", "a", http + b"<p>WARC/1.1\r\n</p>", WARC_Payload_Digest=sha1),
+        record("revisit", "b", http, WARC_Payload_Digest=sha1, WARC_Refers_To="<a>"),
+        record("response", "c", http + b"ab", WARC_Segment_Number=1),
+        record("continuation", "d", b"cd", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<c>", WARC_Segment_Total_Length=len(http) + 4),
+    ]
+    for k, f in enumerate(files):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(f))
+    rows = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path), version="1.0").collect()}
+    assert {k: (r["record_type"], r["payload_bytes"], r["n_segments"]) for k, r in rows.items()} == {"i": ("warcinfo", 13, 1), "a": ("response", 17, 1), "b": ("revisit", None, 1), "c": ("response", 4, 2)}
+    assert (rows["b"]["payload_digest"], rows["b"]["refers_to"], bytes(rows["c"]["payload"])) == (sha1, "a", b"abcd")
+    assert warc._agrees("md5:0", b"") and not warc._agrees("sha1:0", b"") and not warc._agrees("0", b"")
+
+
 def test_quotes_equal_sql(spark):
     turns = [
         (1, 0, "user", "Hello there. How are you today?\nI have a question."),

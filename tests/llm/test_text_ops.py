@@ -1,5 +1,8 @@
+import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 
 import duckdb
@@ -147,6 +150,22 @@ def test_media(docs):
         body = (d["text"] or "").encode()
         padded = body + b" " * (-len(body) % 192 or (0 if body else 192))
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"], r["media_type"]) == (len(body), len(padded), zlib.crc32(padded[-16:]), "audio/wav")
+        stored = io.BytesIO()
+        with wave.open(stored, "wb") as out:
+            out.setparams((1, 1, media.WAV_RATE, 0, "NONE", ""))
+            out.writeframes(padded)
+        assert (r["payload_sha256"], r["media_bytes"], r["media_sha256"]) == (hashlib.sha256(padded).hexdigest(), len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
+        assert f"samples={len(padded)};mean={sum(padded) / len(padded):.3f};" in r["feature"]
+
+
+def test_pdf_ends_at_its_last_mark():
+    hits = media.automaton()
+    once = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
+    updated = once + b"\n2 0 obj\nstartxref\n40\n%%EOF"
+    assert media.sniff(updated, hits)[:2] == ("application/pdf", len(updated))
+    assert media.sniff(b"text " + updated + b" text " + once, hits)[2] == [(5, len(updated), "application/pdf"), (5 + len(updated) + 6, len(once), "application/pdf")]
+    assert media.sniff(b"%PDF-1.4\n%%EOF", hits)[0] == media.OPAQUE
+    assert media.sniff(b"%PDF-1." * 200_000, hits)[0] == media.OPAQUE
 
 
 def test_decontamination(spark, docs):

@@ -162,12 +162,12 @@ def _zip(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    """A header with a version, then startxref and the end mark."""
+    """A header with a version, then startxref and, before any other header, the last end mark: updated files have several."""
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return 0
-    ref = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", ref) if ref >= 0 else -1
-    return end + 5 - at if end >= 0 else 0
+    other = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, other if other >= 0 else len(b))
+    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 
 
 def _ogg(b: bytes, at: int) -> int:

@@ -8,6 +8,7 @@ total length; the HTTP body is then decoded from its chunks.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -129,25 +130,37 @@ _NAMES = [f.split()[0] for f in _SCHEMA.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
 
 
+def _agrees(said: str, payload: bytes) -> bool:
+    """Whether a declared digest is the payload's: SHA-256 in hex, SHA-1 in hex or base32; other kinds aren't judged."""
+    kind, _, value = said.rpartition(":")
+    if kind.lower() in ("", "sha256"):
+        return value.lower() == hashlib.sha256(payload).hexdigest()
+    if kind.lower() == "sha1":
+        found = hashlib.sha1(payload)
+        return value.lower() == found.hexdigest() or value.upper() == base64.b32encode(found.digest()).decode()
+    return True
+
+
 def _finished(fields: dict[str, str], block: bytes, n: int, keep: bool) -> tuple:
     """A logical record: HTTP body decoded, payload digest verified."""
-    kind, said = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    kind, said = fields["warc-type"], fields.get("warc-payload-digest", "")
     payload, size = None, None
     if block.startswith(b"HTTP/"):
         head, _, body = block.partition(END)
         if kind == "revisit":  # no payload of its own: its length stands in the stored HTTP header
-            size = int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1])
+            stated = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+            size = int(stated[1]) if stated else None
         else:
             payload = dechunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
     elif kind != "revisit":
         payload = block
     if payload is not None:
-        size, found = len(payload), hashlib.sha256(payload).hexdigest()
-        if said and said != found:
-            raise ValueError(f"record {fields['warc-record-id']}: payload digest {found} instead of {said}")
-        said = found
+        size = len(payload)
+        if said and not _agrees(said, payload):
+            raise ValueError(f"record {fields['warc-record-id']}: its payload doesn't have the digest {said}")
+        said = hashlib.sha256(payload).hexdigest()
     target = fields.get("warc-refers-to")
-    return fields["warc-record-id"].strip("<>"), kind, fields.get("warc-target-uri"), target and target.strip("<>"), said, size, n, payload if keep else None
+    return fields["warc-record-id"].strip("<>"), kind, fields.get("warc-target-uri"), target and target.strip("<>"), said.removeprefix("sha256:"), size, n, payload if keep else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,8 +168,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Logical records of the WARC files under `path`, segments put together.
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, version: str = "1.1") -> DataFrame:
+    """Logical records of the WARC files of one `version` (1.0 or 1.1) under `path`, segments put together.
 
     The version line is the reader's separator, so files are split like any text; it has no
     proper part that is also its beginning, which the reader's matching at buffer ends needs.
@@ -164,10 +177,11 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     Columns: ``record_id, record_type, uri, refers_to, payload_digest, payload_bytes,
     n_segments, payload``. Fails where a block isn't as long as declared, a segment is
     missing, the total length is wrong, chunked framing is broken or a payload doesn't have
-    its digest. Revisits have no payload; their digest and length are the declared ones.
+    its SHA-256 or SHA-1 digest. Revisits have no payload; their digest and length are the
+    declared ones, the length null where the stored HTTP header has none.
     Repeated segmented records come out as often as they went in.
     """
-    raw = spark.read.option("lineSep", VERSION.decode()).text(path)
+    raw = spark.read.option("lineSep", f"WARC/{version}\r\n").text(path)
     head = F.substring_index("value", END.decode(), 1)
     cut = head.contains("WARC-Segment-Number:")
     data = F.col("value").cast("binary").alias("raw")  # not through string functions: a cut may part a character
